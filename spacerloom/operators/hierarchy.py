@@ -1,0 +1,201 @@
+"""Parent-child rows to full hierarchies of any depth, with cycles told apart (problem 5).
+
+Method. Leaves are peeled in rounds while a round still takes a good part of the nodes; on the
+small core that is left, doubling of parent links finds the nodes on cycles, and the links among
+them are cut. The core forest's Euler tour is laid out as linked lists and ranked in parallel by
+pointer jumping; peeled subtrees weigh in at their parent's place, so their own entry positions
+follow from the parent's entry and prefix sums over siblings. Entry and exit then give depth,
+root, ancestors and the interval that holds all descendants.
+
+Every round is a join or an aggregation of whole numbers, written to the shared folder. Rounds
+grow with the logarithm of the largest tree, not with its depth. Sibling lists are range-sorted,
+so a parent of a third of all nodes fills many tasks.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from spacerloom.plans.ordering import prefix_sums, range_sorted, with_next
+from spacerloom.plans.scratch import Scratch
+
+CYCLE = "cycle"
+#: Peeling goes on while a round takes at least this part of the nodes that are left.
+WORTH_PEELING = 0.25
+BLANKS = " \t\r\n\v\f"
+
+
+def latest_links(df: DataFrame, ident: str, parent: str, order: list[str]) -> DataFrame:
+    """(id, parent_id): of several rows with one id the one that is last by ``order``; blanks around parent stripped, empty is null."""
+    trimmed = F.btrim(F.col(parent).cast("string"), F.lit(BLANKS))
+    rows = df.select(
+        F.col(ident).cast("string").alias("id"), F.struct(*(F.col(o).alias(f"o{i}") for i, o in enumerate(order)), F.nullif(trimmed, F.lit("")).alias("p")).alias("r")
+    ).where("id is not null")
+    return rows.groupBy("id").agg(F.max("r").alias("r")).select("id", F.col("r.p").alias("parent_id"))
+
+
+def _on_cycles(core: DataFrame, scratch: Scratch) -> DataFrame:
+    """(num) of the nodes on cycles: what is still reached after so many steps that the set of nodes reached no longer shrinks."""
+    jump = core.where("par is not null").select("num", F.col("par").alias("anc"))
+    reached = -1
+    old = None
+    while True:
+        jump = scratch.written(jump)
+        scratch.drop(old)
+        now = jump.select("anc").distinct().count()
+        if now in (0, reached):
+            return jump.select(F.col("anc").alias("num")).distinct()
+        reached, old = now, jump
+        ahead = jump.select(F.col("num").alias("anc"), F.col("anc").alias("further"))
+        jump = jump.join(ahead, "anc").select("num", F.col("further").alias("anc"))
+
+
+def _ranked(core: DataFrame, scratch: Scratch) -> DataFrame:
+    """(num, root, depth, entry, exit) of the core forest; positions count back from the end of each tree's tour."""
+    kids = core.where("par is not null")
+    first = kids.groupBy("par").agg(F.min("num").alias("first")).withColumnRenamed("par", "p")
+    after = with_next(kids, scratch, "par", "num").select(F.col("num").alias("n"), "next")
+    rows = core.join(first, F.col("num") == F.col("p"), "left").join(after, F.col("num") == F.col("n"), "left")
+    enter, leave = (lambda v: v * 2), (lambda v: v * 2 + 1)
+    up = F.when(F.col("par").isNotNull(), leave(F.col("par")))
+    elements = rows.select(
+        F.inline(
+            F.array(
+                F.struct(enter(F.col("num")).alias("e"), F.coalesce(enter(F.col("first")), leave(F.col("num"))).alias("nxt"), (F.col("size") * 2 - 1).alias("d"), F.lit(1).cast("long").alias("h")),
+                F.struct(leave(F.col("num")).alias("e"), F.coalesce(enter(F.col("next")), up).alias("nxt"), F.lit(1).cast("long").alias("d"), F.lit(-1).cast("long").alias("h")),
+            )
+        )
+    ).withColumn("last", F.col("e"))
+    old = None
+    while True:
+        elements = scratch.written(elements)
+        scratch.drop(old)
+        if not elements.where("nxt is not null").limit(1).count():
+            break
+        old = elements
+        ahead = elements.select(F.col("e").alias("nxt"), F.col("nxt").alias("n2"), F.col("d").alias("d2"), F.col("h").alias("h2"), F.col("last").alias("l2"))
+        moved = elements.where("nxt is not null").join(ahead, "nxt").select("e", F.col("n2").alias("nxt"), (F.col("d") + F.col("d2")).alias("d"), (F.col("h") + F.col("h2")).alias("h"), F.col("l2").alias("last"))
+        elements = elements.where("nxt is null").unionByName(moved)
+    is_enter = F.col("e") % 2 == 0
+    node = F.shiftright("e", 1).alias("num")
+    return elements.groupBy(node).agg(
+        F.max(F.when(is_enter, F.shiftright("last", 1))).alias("root"),
+        F.max(F.when(is_enter, -F.col("h"))).alias("depth"),
+        F.max(F.when(is_enter, -F.col("d"))).alias("entry"),
+        F.max(F.when(~is_enter, -F.col("d"))).alias("exit"),
+    )
+
+
+def _core_paths(core: DataFrame, names: DataFrame, scratch: Scratch) -> DataFrame:
+    """(num, path): ids from the root down, by doubling of ancestors."""
+    rows = core.join(names, "num").select("num", F.col("par").alias("anc"), F.array("id").alias("path"))
+    old = None
+    while True:
+        rows = scratch.written(rows)
+        scratch.drop(old)
+        if not rows.where("anc is not null").limit(1).count():
+            return rows.select("num", "path")
+        old = rows
+        ahead = rows.select(F.col("num").alias("anc"), F.col("anc").alias("further"), F.col("path").alias("above"))
+        rows = rows.join(ahead, "anc", "left").select("num", F.col("further").alias("anc"), F.when(F.col("above").isNull(), F.col("path")).otherwise(F.concat("above", "path")).alias("path"))
+
+
+def hierarchy(df: DataFrame, ident: str, parent: str, order: list[str], paths: bool = False, max_peel: int = 8) -> DataFrame:
+    """Columns id, root_id, node_depth, entry, exit, descendants and, with ``paths``, path (array of ids from the root).
+
+    One row per distinct non-null id: of several rows the last by ``order`` counts (nulls first).
+    A null or empty parent, or one that is no id of the table, makes a root (depth 0). Where
+    following the parents never ends, root_id is `cycle`, node_depth -1 and the rest null. A node
+    x is a descendant of y if they share root_id and y.entry < x.entry < y.exit; positions run
+    from 0 in each tree. Empty tables give no rows; other columns are not read.
+    """
+    spark = df.sparkSession
+    scratch = Scratch(spark, "hierarchy")
+    named = scratch.written(range_sorted(latest_links(df, ident, parent, order), "id").withColumn("num", F.monotonically_increasing_id()))
+    names = named.select("num", "id")
+    of_parent = named.select(F.col("id").alias("parent_id"), F.col("num").alias("par"))
+    links = scratch.written(named.select("num", "parent_id").join(of_parent, "parent_id", "left").select("num", "par"))
+
+    # Peel: a node without unpeeled children leaves; its parent takes over its subtree's size.
+    kids = links.where("par is not null").groupBy("par").agg(F.count(F.lit(1)).alias("kids")).withColumnRenamed("par", "p")
+    alive = links.join(kids, F.col("num") == F.col("p"), "left").select("num", "par", F.coalesce("kids", F.lit(0).cast("long")).alias("kids"), F.lit(1).cast("long").alias("size"))
+    alive = scratch.written(alive)
+    left = alive.count()
+    peeled: list[DataFrame] = []
+    while left and len(peeled) < max_peel:
+        leaves = alive.where("kids = 0").select("num", "par", "size")
+        gone = leaves.where("par is not null").groupBy("par").agg(F.count(F.lit(1)).alias("gone"), F.sum("size").alias("more")).withColumnRenamed("par", "p")
+        rest = alive.where("kids > 0").join(gone, F.col("num") == F.col("p"), "left")
+        rest = rest.select("num", "par", (F.col("kids") - F.coalesce("gone", F.lit(0))).alias("kids"), (F.col("size") + F.coalesce("more", F.lit(0))).alias("size"))
+        rest = scratch.written(rest)
+        now = rest.count()
+        peeled.append(leaves)
+        alive = rest
+        if left - now < WORTH_PEELING * left:
+            left = now
+            break
+        left = now
+
+    # The core: cut cycles, rank its tours.
+    cyclic = scratch.written(_on_cycles(alive, scratch))
+    core = alive.join(cyclic.withColumn("cyc", F.lit(True)), "num", "left")
+    core = scratch.written(core.select("num", F.when(F.col("cyc").isNull(), F.col("par")).alias("par"), "size"))
+    placed = _ranked(core, scratch)
+    on_cycle = cyclic.select(F.col("num").alias("root"), F.lit(True).alias("cyc"))
+    placed = placed.join(on_cycle, "root", "left").select("num", "root", "depth", "entry", "exit", F.coalesce("cyc", F.lit(False)).alias("cyc"))
+    if paths:
+        placed = placed.join(_core_paths(core, names, scratch), "num")
+    done = [scratch.written(placed)]
+
+    # Peeled nodes from the top down: entry follows from the parent's entry and the sizes of earlier siblings.
+    if peeled:
+        below = peeled[0]
+        for leaves in peeled[1:]:
+            below = below.unionByName(leaves)
+        offsets = scratch.written(prefix_sums(below.where("par is not null"), scratch, "par", "num", "size").select("num", "before"))
+        for leaves in reversed(peeled):
+            above = done[0]
+            for x in done[1:]:
+                above = above.unionByName(x)
+            above = above.select(F.col("num").alias("par"), "root", "depth", "entry", "cyc", *(["path"] if paths else []))
+            rows = leaves.join(offsets, "num", "left").join(above, "par", "left")
+            rows = rows.join(names, "num") if paths else rows
+            entry = F.coalesce(F.col("entry") + 1 + F.col("before") * 2, -F.col("size") * 2)
+            rows = rows.select(
+                "num",
+                F.coalesce("root", "num").alias("root"),
+                F.coalesce(F.col("depth") + 1, F.lit(0)).alias("depth"),
+                entry.alias("entry"),
+                (entry + F.col("size") * 2 - 1).alias("exit"),
+                F.coalesce("cyc", F.lit(False)).alias("cyc"),
+                *([F.when(F.col("path").isNull(), F.array("id")).otherwise(F.concat("path", F.array("id"))).alias("path")] if paths else []),
+            )
+            done.append(scratch.written(rows))
+
+    nodes = done[0]
+    for x in done[1:]:
+        nodes = nodes.unionByName(x)
+    start = nodes.where("num = root").select("root", F.col("entry").alias("base"))
+    root_names = names.select(F.col("num").alias("root"), F.col("id").alias("root_name"))
+    full = nodes.join(start.join(root_names, "root"), "root").join(names, "num")
+    sound = ~F.col("cyc")
+
+    def unless_cycle(value: Column) -> Column:
+        return F.when(sound, value)
+
+    return full.select(
+        "id",
+        F.when(sound, F.col("root_name")).otherwise(CYCLE).alias("root_id"),
+        F.when(sound, F.col("depth")).otherwise(-1).cast("int").alias("node_depth"),
+        unless_cycle(F.col("entry") - F.col("base")).alias("entry"),
+        unless_cycle(F.col("exit") - F.col("base")).alias("exit"),
+        unless_cycle(((F.col("exit") - F.col("entry") - 1) / 2).cast("long")).alias("descendants"),
+        *([unless_cycle(F.col("path")).alias("path")] if paths else []),
+    )
+
+
+def descendant_pairs(nodes: DataFrame) -> DataFrame:
+    """(ancestor_id, id, distance) for every node and each of its ancestors, of a hierarchy with paths; as many rows as the depths add up to."""
+    up = nodes.where("path is not null").select("id", F.col("node_depth").alias("d"), F.posexplode("path").alias("at", "ancestor_id"))
+    return up.where("at < d").select("ancestor_id", "id", (F.col("d") - F.col("at")).alias("distance"))

@@ -1,0 +1,71 @@
+"""Intermediate tables in the folder that all executors share.
+
+Iterative operators cut their lineage by writing a table and reading it back. The folder is the
+one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
+local temporary folder is made. A written table survives the loss of executors.
+"""
+
+from __future__ import annotations
+
+import atexit
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own_root: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder, or a local one if the session names none."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not _own_root:
+        _own_root.append(tempfile.mkdtemp(prefix="spacerloom-"))
+    return "file://" + _own_root[0]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Written tables of one operator run; ``drop`` removes those no later step reads."""
+
+    _roots: dict[str, SparkSession] = {}
+
+    def __init__(self, spark: SparkSession, tag: str):
+        self.spark = spark
+        root = f"{shared_folder(spark)}/spacerloom-{spark.sparkContext.applicationId}"
+        if root not in Scratch._roots:
+            Scratch._roots[root] = spark
+        self.base = f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
+        self._n = 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """df as a table on shared storage, read back without its lineage."""
+        self._n += 1
+        path = f"{self.base}/{self._n}"
+        df.write.parquet(path)
+        back = self.spark.read.schema(df.schema).parquet(path)
+        back._spacerloom_path = path
+        return back
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete written tables; plans built on them must have run."""
+        for table in tables:
+            path = getattr(table, "_spacerloom_path", None)
+            if path:
+                _delete(self.spark, path)
+
+
+@atexit.register
+def _clean_up() -> None:
+    for root, spark in Scratch._roots.items():
+        try:
+            _delete(spark, root)
+        except Exception:  # the session is gone; its folder is the cluster's to clear
+            pass
