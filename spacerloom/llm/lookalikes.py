@@ -1,0 +1,147 @@
+"""One consistent form of texts that look the same but differ in their characters (problem 10).
+
+Method: a compiled longest-match transducer over grapheme clusters. A mapping for widths, accents,
+spaces and look-alike letters is computed once from the Unicode database and a short list of
+letters, checked for conflicts, and applied in one pass: the longest cluster (a base and all marks
+and widthless characters after it) that begins at a place is replaced by its form.
+"""
+
+from __future__ import annotations
+
+import sys
+import unicodedata
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from spacerloom.plans.ordering import batches
+from spacerloom.plans.scratch import Scratch
+
+# Letters that look like Latin ones, in the order of the Latin letters beside them.
+CYRILLIC = ("АВСЕНІЈКМОРЅТХУасԁеһіјӏорԛѕԝху", "ABCEHIJKMOPSTXYacdehijlopqswxy")
+GREEK = ("ΑΒΕΗΙΚΜΝΟΡΤΧΥΖαινορυ", "ABEHIKMNOPTXYZaivopu")
+# Code points without width, as ranges.
+WIDTHLESS = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0001, 0xE007F), (0xE0100, 0xE01EF))
+HALF_WIDTH_MARKS = "ﾞﾟ"
+JAMO = "ᄀ-ᇿꥠ-ꥼힰ-ퟻ"
+KEPT_CLUSTERS = 100_000
+
+
+def look_alike_letters() -> dict[str, str]:
+    """Letter -> Latin letter of the same look."""
+    return {a: b for odd, latin in (CYRILLIC, GREEK) for a, b in zip(odd, latin, strict=True)}
+
+
+def is_widthless(c: str) -> bool:
+    return any(a <= ord(c) <= b for a, b in WIDTHLESS)
+
+
+def cluster_form(cluster: str, letters: dict[str, str]) -> str:
+    """The one form of a grapheme cluster, by the rules the mapping is computed from."""
+    out = []
+    for c in cluster:
+        if is_widthless(c):
+            continue
+        if unicodedata.category(c) == "Zs":
+            c = " "
+        elif unicodedata.decomposition(c).startswith(("<wide>", "<narrow>")):
+            c = unicodedata.normalize("NFKC", c)
+        out += [letters.get(x, x) for x in unicodedata.normalize("NFD", c)]
+    return unicodedata.normalize("NFC", "".join(out))
+
+
+def compiled_mapping() -> dict[int, str]:
+    """Code point -> form, for all single characters that change; raises where two rules conflict."""
+    letters = look_alike_letters()
+    table = {}
+    for n in range(0x80, sys.maxunicode + 1):
+        c = chr(n)
+        if unicodedata.category(c) in ("Cn", "Co", "Cs"):
+            continue
+        form = cluster_form(c, letters)
+        if form != c:
+            table[n] = form
+    for n, form in table.items():  # a form must be final, and ASCII must stay as it is
+        if n < 0x80 or form != cluster_form(form, letters) or any(ord(x) in table and table[ord(x)] != x for x in form):
+            raise ValueError(f"conflict at U+{n:04X}")
+    return table
+
+
+def transducer(table: dict[int, str]) -> Callable[[str], str]:
+    """A function from a text to its form; ``table`` is what compiled_mapping gives."""
+    import regex
+
+    letters = look_alike_letters()
+    widthless = "".join(f"{chr(a)}-{chr(b)}" for a, b in WIDTHLESS)
+    follows = rf"\p{{M}}{widthless}{HALF_WIDTH_MARKS}"
+    longest = regex.compile(rf"[{JAMO}]+[{follows}]*|[^{follows}]?[{follows}]+|[^\x00-\x7f]", regex.DOTALL)
+    forms: dict[str, str] = {chr(n): form for n, form in table.items()}
+    singles = len(forms)
+
+    def form_of(match) -> str:
+        cluster = match.group()
+        got = forms.get(cluster)
+        if got is None:
+            if len(cluster) == 1:
+                return cluster
+            got = cluster_form(cluster, letters)
+            if len(forms) >= singles + KEPT_CLUSTERS:
+                for key in list(forms)[singles:]:
+                    del forms[key]
+            if len(cluster) <= 16:
+                forms[cluster] = got
+        return got
+
+    return lambda text: text if text.isascii() else longest.sub(form_of, text)
+
+
+def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Columns key, text: every text in its one form; null stays null, empty stays empty.
+
+    Case, punctuation, accents present or missing, line breaks and the number of spaces stay as
+    they are. Whole texts are mapped. An empty table gives no rows. Other columns are not read.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("value"))
+    out = T.StructType([rows.schema["key"], T.StructField("form", T.StringType())])
+    schema, table = to_arrow_schema(out), compiled_mapping()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apply = transducer(table)
+        for batch in batches(it):
+            forms = [None if t is None else apply(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(forms, pa.string())], schema=schema)
+
+    return rows.mapInArrow(run, out).select(F.col("key").alias(key), F.col("form").alias(text))
+
+
+def look_alike_pairs(df: DataFrame, key: str, text: str, per_task: int = 20_000) -> DataFrame:
+    """Columns a, b (a < b): keys of rows whose texts differ but have one form.
+
+    Null and empty texts take no part. Only forms with several different texts are joined, and a
+    form's rows are spread over as many salts as its size needs. An empty table gives no rows.
+    """
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("value")).where("value is not null and value <> ''")
+    out = T.StructType([rows.schema["key"], T.StructField("form", T.BinaryType()), T.StructField("as_is", T.BinaryType())])
+    schema, table = to_arrow_schema(out), compiled_mapping()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from hashlib import blake2b
+
+        apply = transducer(table)
+        for batch in batches(it):
+            texts = batch.column(1).to_pylist()
+            digest = lambda values: pa.array([blake2b(v.encode(), digest_size=20).digest() for v in values], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), digest(map(apply, texts)), digest(texts)], schema=schema)
+
+    marked = Scratch(df.sparkSession, "lookalikes").written(rows.mapInArrow(run, out))
+    kinds = marked.groupBy("form", "as_is").agg(F.count(F.lit(1)).alias("n"))
+    several = kinds.groupBy("form").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where("kinds > 1")
+    several = several.select("form", F.ceil(F.col("n") / per_task).cast("int").alias("salts"))
+    members = marked.join(several, "form")
+    left = members.select("form", F.col("key").alias("a"), F.col("as_is").alias("text_a"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
+    right = members.select("form", F.col("key").alias("b"), F.col("as_is").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return left.join(right, ["form", "salt"]).where("a < b and text_a <> text_b").select("a", "b")

@@ -1,0 +1,131 @@
+"""Queries of the problems on training data (p2, p4, p6, p8, p9, p10) and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from spacerloom.llm.lookalikes import consistent_texts, look_alike_pairs
+from spacerloom.llm.ngrams import ngram_counts
+from spacerloom.llm.packing import pack_items
+from spacerloom.llm.splitting import sites_in_pieces, split_sequences
+from spacerloom.llm.tokenize import decoded_texts, token_counts, token_ids
+from spacerloom.llm.topn import top_n_per_group
+from spacerloom.tables import Query, table
+
+PIECE_LIMIT = 6000
+CONTAINER_TOKENS = 2048
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pieces of the contigs over the size limit."""
+    return split_sequences(table(spark, d, "contigs"), "chrom_idx", "chrom_sequence", max_size=PIECE_LIMIT, longer_than=PIECE_LIMIT)
+
+
+def p2_sites(spark: SparkSession, d: str) -> DataFrame:
+    """For each spacer site the first piece of its contig that holds it whole."""
+    pieces = split_sequences(table(spark, d, "contigs"), "chrom_idx", "chrom_sequence", max_size=PIECE_LIMIT)
+    return sites_in_pieces(table(spark, d, "spacer_locations"), pieces, "chrom_idx", "start_pos", "spacer_length", "site_id")
+
+
+def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
+    """All contigs as texts under the limit, with the least cut penalties and imbalance in sum."""
+    return split_sequences(table(spark, d, "contigs"), "chrom_idx", "chrom_sequence", max_size=PIECE_LIMIT, objective="total", with_text=True)
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """The five best targets of each query."""
+    best = top_n_per_group(table(spark, d, "scored_results"), "query_name", "target_name", "score", "result_id", 5)
+    return best.select("query_name", "result_id")
+
+
+def _counted_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits that count: known names, plain bases, equal deliveries once."""
+    hits = table(spark, d, "search_hits").select("query_name", "target_name", F.upper("target_seq").alias("target_seq"))
+    return hits.where("query_name is not null and target_name is not null and target_seq rlike '^[ACGT]+\\\\z'").distinct()
+
+
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Hits and queries of every target sequence, and whether it is rare or common."""
+    counts = ngram_counts(_counted_hits(spark, d), F.array("target_seq"), F.col("query_name"), tie=F.col("target_name"))
+    queries = table(spark, d, "search_hits").select("query_name").where("query_name is not null").distinct()
+    total = queries.agg(F.count(F.lit(1))).scalar()
+    mark = F.when(F.col("occurrences") == 1, "rare").when(F.col("records") * 20 >= total, "common")
+    return counts.select(F.col("ngram")[0].alias("target_seq"), F.col("occurrences").alias("n_hits"), F.col("records").alias("n_queries"), mark.alias("mark"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """The target sequences that are too rare or too common."""
+    return p6_counts(spark, d).where("mark is not null").select("target_seq", "mark")
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    """Token ids of every document."""
+    return token_ids(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Number of tokens of every document, and whether decoding its ids gives its text again (true where there is none)."""
+    documents = table(spark, d, "documents")
+    ids = token_ids(documents, "doc_id", "text")
+    decoded = decoded_texts(ids, "doc_id", "ids").withColumnRenamed("text", "decoded").join(ids.select("doc_id", F.size("ids").alias("n_tokens")), "doc_id")
+    same = F.coalesce("text", F.lit("")) == F.col("decoded")
+    return documents.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", "n_tokens", same.alias("same"))
+
+
+def p9_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of the documents' texts, in tokens."""
+    sizes = token_counts(table(spark, d, "documents"), "doc_id", "text")
+    return pack_items(sizes, "doc_id", "n_tokens", CONTAINER_TOKENS)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of documents whose texts differ but look the same."""
+    pairs = look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
+    return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p10_texts(spark: SparkSession, d: str) -> DataFrame:
+    """The one consistent form of every text."""
+    return consistent_texts(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f for f in (p2_found, p2_sites, p2_pieces, p4_found, p6_found, p6_counts, p8_ids, p8_roundtrip, p9_bins, p10_found, p10_texts)
+}
+
+_PIECES = """WITH RECURSIVE c AS (
+  SELECT chrom_idx, chrom_sequence AS q, length(chrom_sequence) AS n FROM contigs WHERE length(chrom_sequence) > {least}),
+b AS (
+  SELECT chrom_idx, list(x) AS bs FROM (SELECT chrom_idx, q, n, unnest(range(10, n + 1)) AS x FROM c)
+  WHERE regexp_full_match(substr(q, x - 9, 10), '[Nn]+') AND (x = n OR substr(q, x + 1, 1) NOT IN ('N', 'n')) GROUP BY chrom_idx),
+t AS (SELECT c.chrom_idx, n, coalesce(bs, []::BIGINT[]) AS bs FROM c LEFT JOIN b ON c.chrom_idx = b.chrom_idx),
+r AS (
+  SELECT chrom_idx, n, bs, 0::BIGINT AS s, CASE WHEN n <= 6000 THEN n ELSE coalesce(list_max(list_filter(bs, lambda z: z > 3000 AND z <= 6000)), 6000) END AS e FROM t
+  UNION ALL
+  SELECT chrom_idx, n, bs, e - 50, CASE WHEN n - (e - 50) <= 6000 THEN n
+    ELSE coalesce(list_max(list_filter(bs, lambda z: z > e - 50 + 3000 AND z <= e - 50 + 6000)), e - 50 + 6000) END FROM r WHERE e < n)
+"""
+
+_COUNTS = """WITH h AS (
+  SELECT DISTINCT query_name, target_name, upper(target_seq) AS target_seq FROM search_hits
+  WHERE query_name IS NOT NULL AND target_name IS NOT NULL AND regexp_full_match(upper(target_seq), '[ACGT]+')),
+k AS (
+  SELECT target_seq, count(*) AS n_hits, count(DISTINCT query_name) AS n_queries FROM h GROUP BY target_seq),
+m AS (
+  SELECT *, CASE WHEN n_hits = 1 THEN 'rare' WHEN n_queries * 20 >= (SELECT count(DISTINCT query_name) FROM search_hits) THEN 'common' END AS mark FROM k)
+"""
+
+SQL = {
+    "p2_found": _PIECES.format(least=PIECE_LIMIT) + "SELECT chrom_idx, s AS piece_start, e AS piece_end FROM r",
+    "p2_sites": _PIECES.format(least=0)
+    + """SELECT l.site_id, l.chrom_idx, min(r.s) AS piece_start, min(r.e) AS piece_end FROM spacer_locations l
+LEFT JOIN r ON l.chrom_idx = r.chrom_idx AND l.start_pos >= r.s AND l.start_pos + l.spacer_length <= r.e GROUP BY l.site_id, l.chrom_idx""",
+    "p4_found": """WITH b AS (
+  SELECT *, row_number() OVER (PARTITION BY query_name, target_name ORDER BY score DESC, result_id) AS r FROM scored_results
+  WHERE query_name IS NOT NULL AND score IS NOT NULL AND NOT isnan(score)),
+k AS (SELECT query_name, result_id, row_number() OVER (PARTITION BY query_name ORDER BY score DESC, target_name NULLS FIRST) AS p FROM b WHERE r = 1)
+SELECT query_name, result_id FROM k WHERE p <= 5""",
+    "p6_counts": _COUNTS + "SELECT target_seq, n_hits, n_queries, mark FROM m",
+    "p6_found": _COUNTS + "SELECT target_seq, mark FROM m WHERE mark IS NOT NULL",
+}

@@ -1,0 +1,119 @@
+"""Oversized sequences cut into overlapping pieces at natural boundaries (problem 2).
+
+Method: dynamic programming over boundary positions. A state is the start of a piece; from it the
+piece may end at any boundary inside the size window, or at the limit where the window holds none.
+The objective `total` minimises the sum of cut penalties and squared size imbalance over all
+pieces; `leftmost` compares plans piece by piece from the left (cut at a boundary first, then the
+longest piece), an order under which the best plan of a state starts with its best first piece.
+
+Boundaries are found inside the JVM; only their distances travel to the tasks' Python, never the
+sequences, so a very long sequence costs a short array.
+"""
+
+from __future__ import annotations
+
+from bisect import bisect_right
+from heapq import heappop, heappush
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+PIECES = "array<struct<piece_start:bigint,piece_end:bigint>>"
+
+
+def best_pieces(length: int, cuts: list[int], max_size: int, min_size: int, overlap: int, objective: str) -> list[tuple[int, int]]:
+    """Pieces (start, end) of a sequence with boundaries at the sorted positions ``cuts``."""
+    target = (max_size + min_size) / 2
+    best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, 0)}  # start -> cost, start of the piece before, its end
+    queue = [0]
+    final: tuple[float, int] | None = None
+    while queue:
+        start = heappop(queue)
+        cost = best[start][0]
+        if length - start <= max_size:
+            if final is None or cost < final[0]:
+                final = (cost, start)
+            continue
+        inside = cuts[bisect_right(cuts, start + min_size) : bisect_right(cuts, start + max_size)]
+        ends = [(0.0, e) for e in inside] or [(1.0, start + max_size)]
+        if objective == "leftmost":
+            ends = [min(ends, key=lambda x: (x[0], -x[1]))]
+        for penalty, end in ends:
+            then = end - overlap
+            total = cost + penalty + ((end - start - target) / target) ** 2
+            if then not in best:
+                heappush(queue, then)
+            elif best[then][0] <= total:
+                continue
+            best[then] = (total, start, end)
+    pieces, at, end = [], final[1], length
+    while at >= 0:
+        pieces.append((at, end))
+        _, at, end = best[at]
+    return pieces[::-1]
+
+
+def boundary_distances(text: Column, gap_run: int) -> Column:
+    """Lengths of the parts between ends of unbroken runs of at least ``gap_run`` N or n; their running sums are the boundaries."""
+    return F.transform(F.split(text, f"(?<=[Nn]{{{gap_run}}})(?![Nn])", -1), lambda part: F.length(part))
+
+
+def split_sequences(df: DataFrame, key: str, text: str, max_size: int = 6000, min_size: int = 3000, overlap: int = 50, gap_run: int = 10, objective: str = "leftmost", longer_than: int = 0, with_text: bool = False) -> DataFrame:
+    """Columns key, piece_start, piece_end (exclusive) and, with_text, piece: pieces of every text longer than ``longer_than``.
+
+    Every piece has at most ``max_size`` characters; each but the last is longer than ``min_size``;
+    the next one starts ``overlap`` before the end of the one before. A text within the limit is
+    one piece. Null and empty texts give no piece. Repeated rows are cut each. An empty table
+    gives no rows. Other columns are not read.
+    """
+    if not 0 <= overlap < min_size < max_size:
+        raise ValueError("0 <= overlap < min_size < max_size must hold")
+    if objective not in ("leftmost", "total"):
+        raise ValueError(f"unknown objective {objective}")
+
+    @F.pandas_udf(PIECES)
+    def plan(lengths: pd.Series, distances: pd.Series) -> pd.Series:
+        def one(length, parts):
+            cuts = parts[:-1].cumsum().tolist()
+            return [{"piece_start": a, "piece_end": b} for a, b in best_pieces(int(length), cuts, max_size, min_size, overlap, objective)]
+
+        return pd.Series([one(n, p) for n, p in zip(lengths, distances, strict=True)], dtype=object)
+
+    rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("txt")).where(F.length("txt") > max(0, longer_than))
+    planned = rows.withColumn("pieces", plan(F.length("txt"), boundary_distances(F.col("txt"), gap_run)))
+    if not with_text:
+        pieces = planned.select("key", F.inline("pieces"))
+    else:
+        # Bytes are cut in constant time; texts with characters of several bytes are cut by character.
+        plain = F.octet_length("txt") == F.length("txt")
+        width = lambda p: p["piece_end"] - p["piece_start"]
+        cut = F.transform(
+            "pieces",
+            lambda p: F.struct(
+                p["piece_start"].alias("piece_start"),
+                p["piece_end"].alias("piece_end"),
+                F.when(plain, F.substring(F.col("txt").cast("binary"), (p["piece_start"] + 1).cast("int"), width(p).cast("int")).cast("string"))
+                .otherwise(F.substring("txt", (p["piece_start"] + 1).cast("int"), width(p).cast("int")))
+                .alias("piece"),
+            ),
+        )
+        pieces = planned.select("key", F.inline(cut))
+    return pieces.withColumnRenamed("key", key)
+
+
+def sites_in_pieces(sites: DataFrame, pieces: DataFrame, key: str, start: str, length: str, ident: str, bucket: int = 3000) -> DataFrame:
+    """Columns ident, key, piece_start, piece_end: for each site the first piece that holds it whole.
+
+    Sites meet pieces by key and position bucket, so a key with a third of all sites is spread over
+    its length. Sites that no piece holds have null bounds; null keys or positions likewise.
+    """
+    covers = pieces.select(
+        F.col(key).alias("p_key"), "piece_start", "piece_end", F.explode(F.sequence(F.expr(f"piece_start div {bucket}"), F.expr(f"(piece_end - 1) div {bucket}"))).alias("p_bucket")
+    )
+    at = sites.select(F.col(ident).alias("ident"), F.col(key).alias("key"), F.col(start).cast("long").alias("lo"), F.col(length).cast("long").alias("len"))
+    at = at.withColumn("bucket", F.expr(f"lo div {bucket}"))
+    held = (F.col("key") == F.col("p_key")) & (F.col("bucket") == F.col("p_bucket")) & (F.col("lo") >= F.col("piece_start")) & (F.col("lo") + F.col("len") <= F.col("piece_end"))
+    joined = at.join(covers, held, "left")
+    first = joined.groupBy("ident", "key").agg(F.min("piece_start").alias("piece_start"), F.min("piece_end").alias("piece_end"))
+    return first.select(F.col("ident").alias(ident), F.col("key").alias(key), "piece_start", "piece_end")
