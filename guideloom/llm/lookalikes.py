@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spacerloom.plans.ordering import batches
-from spacerloom.plans.scratch import Scratch
+from guideloom.plans.ordering import batches
+from guideloom.plans.scratch import Scratch
 
 # Letters that look like Latin ones, in the order of the Latin letters beside them.
 CYRILLIC = ("АВСЕНІЈКМОРЅТХУасԁеһіјӏорԛѕԝху", "ABCEHIJKMOPSTXYacdehijlopqswxy")

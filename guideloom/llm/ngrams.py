@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spacerloom.plans.ordering import batches, codes, range_sorted
-from spacerloom.plans.scratch import Scratch
+from guideloom.plans.ordering import batches, codes, range_sorted
+from guideloom.plans.scratch import Scratch
 
 BLOCK = 200_000  # suffixes held at once in a task; an interval cut here counts as one at a bound
 

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spacerloom.llm.lookalikes import consistent_texts, look_alike_pairs
-from spacerloom.llm.ngrams import ngram_counts
-from spacerloom.llm.packing import pack_items
-from spacerloom.llm.splitting import sites_in_pieces, split_sequences
-from spacerloom.llm.tokenize import decoded_texts, token_counts, token_ids
-from spacerloom.llm.topn import top_n_per_group
-from spacerloom.tables import Query, table
+from guideloom.llm.lookalikes import consistent_texts, look_alike_pairs
+from guideloom.llm.ngrams import ngram_counts
+from guideloom.llm.packing import pack_items
+from guideloom.llm.splitting import sites_in_pieces, split_sequences
+from guideloom.llm.tokenize import decoded_texts, token_counts, token_ids
+from guideloom.llm.topn import top_n_per_group
+from guideloom.tables import Query, table
 
 PIECE_LIMIT = 6000
 CONTAINER_TOKENS = 2048

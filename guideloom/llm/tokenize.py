@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spacerloom.plans.ordering import batches
+from guideloom.plans.ordering import batches
 
 DEFAULT_FOLDER = "/opt/tokenizers"
 LARGEST_VOCABULARY = 64 * 2**20  # bytes; a vocabulary file is broadcast only up to this size
@@ -34,7 +34,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}
 
 def vocabulary_path(name: str = "byte_bpe_50k") -> str:
     """Place of a rank file; the folder can be set by the environment."""
-    return os.path.join(os.environ.get("SPACERLOOM_TOKENIZERS", DEFAULT_FOLDER), f"{name}.tiktoken")
+    return os.path.join(os.environ.get("GUIDELOOM_TOKENIZERS", DEFAULT_FOLDER), f"{name}.tiktoken")
 
 
 def read_ranks(data: bytes) -> dict[bytes, int]:

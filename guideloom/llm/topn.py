@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from spacerloom.plans.ordering import batches, partition_no, range_sorted, starts
-from spacerloom.plans.scratch import Scratch
+from guideloom.plans.ordering import batches, partition_no, range_sorted, starts
+from guideloom.plans.scratch import Scratch
 
 
 def _local_best(n: int, schema: pa.Schema):
