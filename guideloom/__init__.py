@@ -1,4 +1,4 @@
-"""spacerloom: guide-RNA off-target analytics and training-data operators on PySpark."""
+"""guideloom: guide-RNA off-target analytics and training-data operators on PySpark."""
 
 import sys
 

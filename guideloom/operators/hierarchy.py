@@ -17,8 +17,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spacerloom.plans.ordering import prefix_sums, range_sorted, with_next
-from spacerloom.plans.scratch import Scratch
+from guideloom.plans.ordering import prefix_sums, range_sorted, with_next
+from guideloom.plans.scratch import Scratch
 
 CYCLE = "cycle"
 #: Peeling goes on while a round takes at least this part of the nodes that are left.

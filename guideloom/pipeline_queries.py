@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spacerloom.operators.hierarchy import hierarchy
-from spacerloom.operators.intervals import spans_and_gaps
-from spacerloom.operators.tree_aggregate import count_of, heavy_keys, max_of, min_of, stacked_keys, sum_of, tree_aggregate
-from spacerloom.sources.annotation_lines import loaded, parse_annotation_lines, rejects
-from spacerloom.tables import Query, table
+from guideloom.operators.hierarchy import hierarchy
+from guideloom.operators.intervals import spans_and_gaps
+from guideloom.operators.tree_aggregate import count_of, heavy_keys, max_of, min_of, stacked_keys, sum_of, tree_aggregate
+from guideloom.sources.annotation_lines import loaded, parse_annotation_lines, rejects
+from guideloom.tables import Query, table
 
 KEY_FIELDS = ["query_name", "target_name"]
 FEATURE_ORDER = ["loaded_at", "row_id"]

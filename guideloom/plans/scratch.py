@@ -22,7 +22,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if not _own_root:
-        _own_root.append(tempfile.mkdtemp(prefix="spacerloom-"))
+        _own_root.append(tempfile.mkdtemp(prefix="guideloom-"))
     return "file://" + _own_root[0]
 
 
@@ -39,7 +39,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
-        root = f"{shared_folder(spark)}/spacerloom-{spark.sparkContext.applicationId}"
+        root = f"{shared_folder(spark)}/guideloom-{spark.sparkContext.applicationId}"
         if root not in Scratch._roots:
             Scratch._roots[root] = spark
         self.base = f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
@@ -51,13 +51,13 @@ class Scratch:
         path = f"{self.base}/{self._n}"
         df.write.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
-        back._spacerloom_path = path
+        back._guideloom_path = path
         return back
 
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete written tables; plans built on them must have run."""
         for table in tables:
-            path = getattr(table, "_spacerloom_path", None)
+            path = getattr(table, "_guideloom_path", None)
             if path:
                 _delete(self.spark, path)
 
