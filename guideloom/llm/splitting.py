@@ -82,8 +82,9 @@ def split_sequences(df: DataFrame, key: str, text: str, max_size: int = 6000, mi
 
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("txt")).where(F.length("txt") > max(0, longer_than))
     planned = rows.withColumn("pieces", plan(F.length("txt"), boundary_distances(F.col("txt"), gap_run)))
+    # Every text has a piece; the outer form spares a test for empty lists, which would run the plan twice.
     if not with_text:
-        pieces = planned.select("key", F.inline("pieces"))
+        pieces = planned.select("key", F.inline_outer("pieces"))
     else:
         # Bytes are cut in constant time; texts with characters of several bytes are cut by character.
         plain = F.octet_length("txt") == F.length("txt")
@@ -98,7 +99,7 @@ def split_sequences(df: DataFrame, key: str, text: str, max_size: int = 6000, mi
                 .alias("piece"),
             ),
         )
-        pieces = planned.select("key", F.inline(cut))
+        pieces = planned.select("key", F.inline_outer(cut))
     return pieces.withColumnRenamed("key", key)
 
 
