@@ -27,26 +27,32 @@ from guideloom.plans.scratch import Scratch
 BLOCK = 200_000  # suffixes held at once in a task; an interval cut here counts as one at a bound
 
 
-def _common_prefix(suffixes: pa.ListArray, top: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row: length of the common prefix with the row before it, and its own length, both at most ``top``."""
-    lengths = np.minimum(suffixes.value_lengths().to_numpy(zero_copy_only=False), top)
-    flat = codes(suffixes.flatten())
-    first = np.concatenate(([0], np.cumsum(suffixes.value_lengths().to_numpy(zero_copy_only=False))))[:-1]
-    lcp = np.zeros(len(lengths), dtype=np.int64)
-    same = np.ones(max(0, len(lengths) - 1), dtype=bool)
-    for k in range(top):
-        same &= (lengths[1:] > k) & (lengths[:-1] > k)
-        at = np.flatnonzero(same)
-        same[at] = flat[first[1:][at] + k] == flat[first[:-1][at] + k]
-        lcp[1:] += same
-    return lcp, lengths
+def _token_table(suffixes: pa.Array, top: int) -> np.ndarray:
+    """Row by row the suffix's first ``top`` tokens (of a string: its characters) as numbers, -1 after its end."""
+    if pa.types.is_string(suffixes.type):
+        units = np.array(suffixes.to_pylist(), dtype=f"U{top}").view(np.uint32).reshape(len(suffixes), top)
+        size = pc.utf8_length(suffixes).to_numpy(zero_copy_only=False)
+        return np.where(np.arange(top) < size[:, None], units.astype(np.int64), -1)
+    size = suffixes.value_lengths().to_numpy(zero_copy_only=False)
+    inside = np.arange(top) < size[:, None]
+    table = np.full((len(suffixes), top), -1, dtype=np.int64)
+    table[inside] = codes(suffixes.flatten())
+    return table
+
+
+def _common_prefix(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row: length of the common prefix with the row before it, and its own length."""
+    same = (table[1:] == table[:-1]) & (table[1:] >= 0)
+    lcp = np.zeros(len(table), dtype=np.int64)
+    lcp[1:] = np.minimum.accumulate(same, axis=1).sum(axis=1)
+    return lcp, (table >= 0).sum(axis=1)
 
 
 def _interval_counts(top: int, min_n: int, schema: pa.Schema):
     """Streams one sorted partition of (suffix, record) and yields the intervals' counts."""
 
-    def counted(suffixes: pa.ListArray, records: pa.Array) -> Iterator[pa.RecordBatch]:
-        lcp, lengths = _common_prefix(suffixes, top)
+    def counted(suffixes: pa.Array, records: pa.Array) -> Iterator[pa.RecordBatch]:
+        lcp, lengths = _common_prefix(_token_table(suffixes, top))
         record = codes(records)
         for n in range(min_n, top + 1):
             long = np.flatnonzero(lengths >= n)
@@ -72,8 +78,9 @@ def _interval_counts(top: int, min_n: int, schema: pa.Schema):
             ends = np.append(np.flatnonzero(~again)[1:], len(long))[np.searchsorted(np.flatnonzero(~again), at_bound)]
             yield rows(suffixes, long[order][at_bound], n, ends - at_bound, np.ones(len(at_bound), np.int64), records.take(pa.array(long[order][at_bound])))
 
-    def rows(suffixes: pa.ListArray, at: np.ndarray, n: int, tf, df, records) -> pa.RecordBatch:
-        grams = pc.list_slice(suffixes.take(pa.array(at)), 0, n)
+    def rows(suffixes: pa.Array, at: np.ndarray, n: int, tf, df, records) -> pa.RecordBatch:
+        cut = pc.utf8_slice_codeunits if pa.types.is_string(suffixes.type) else pc.list_slice
+        grams = cut(suffixes.take(pa.array(at)), 0, n)
         k = len(at)
         bound = records is not None
         columns = [grams.cast(schema.field(0).type), pa.array(np.full(k, n), pa.int32()), pa.array(tf, pa.int64()), pa.array(df, pa.int64())]
@@ -96,27 +103,33 @@ def _interval_counts(top: int, min_n: int, schema: pa.Schema):
 
 
 def ngram_counts(df: DataFrame, tokens: Column, record: Column, max_n: int = 1, min_n: int = 1, tie: Column | None = None) -> DataFrame:
-    """Columns ngram (array), n, occurrences, records: counts of all n-grams of min_n to max_n tokens.
+    """Columns ngram, n, occurrences, records: counts of all n-grams of min_n to max_n tokens.
 
-    ``tokens`` is an array of strings; rows where it or ``record`` is null take no part, an empty
-    array has no n-grams, a null token counts as an empty string. ``tie`` only spreads rows with
-    equal suffix and record over partitions; it must be deterministic. Every row counts, also
-    repeated ones. An empty table gives no rows. Other columns are not read.
+    ``tokens`` is an array of strings (n-grams are arrays) or a string (its characters are the
+    tokens, n-grams are strings). Rows where it or ``record`` is null take no part, an empty one
+    has no n-grams, a null token counts as an empty string. ``tie`` only spreads rows with equal
+    suffix and record over partitions; it must be deterministic. Every row counts, also repeated
+    ones. An empty table gives no rows. Other columns are not read.
     """
     if not 1 <= min_n <= max_n:
         raise ValueError("1 <= min_n <= max_n must hold")
     base = df.select(tokens.alias("toks"), record.cast("string").alias("rec"), (F.xxhash64(tie) if tie is not None else F.lit(0)).alias("tie")).where(
         "toks is not null and rec is not null"
     )
-    clean = F.transform("toks", lambda x: F.coalesce(x, F.lit("")))
-    if max_n == 1:
-        suffixes = base.select(F.explode(F.transform(clean, lambda x: F.array(x))).alias("suffix"), "rec", "tie")
+    kind = base.schema["toks"].dataType
+    if isinstance(kind, T.StringType):
+        at = F.transform(F.sequence(F.lit(1), F.length("toks") - min_n + 1), lambda i: F.substring("toks", i, F.lit(max_n)))
+        suffixes = base.where(F.length("toks") >= min_n).select(F.explode(at).alias("suffix"), "rec", "tie")
     else:
-        at = F.transform(F.sequence(F.lit(1), F.size("toks")), lambda i: F.slice("toks", i, max_n))
-        suffixes = base.withColumn("toks", clean).where(F.size("toks") > 0).select(F.explode(at).alias("suffix"), "rec", "tie")
+        clean = F.transform("toks", lambda x: F.coalesce(x, F.lit("")))
+        if max_n == 1:
+            suffixes = base.select(F.explode(F.transform(clean, lambda x: F.array(x))).alias("suffix"), "rec", "tie")
+        else:
+            at = F.transform(F.sequence(F.lit(1), F.size("toks") - min_n + 1), lambda i: F.slice("toks", i, max_n))
+            suffixes = base.withColumn("toks", clean).where(F.size("toks") >= min_n).select(F.explode(at).alias("suffix"), "rec", "tie")
     ordered = range_sorted(suffixes, "suffix", "rec", "tie").select("suffix", "rec")
     local_type = T.StructType(
-        [T.StructField("ngram", T.ArrayType(T.StringType())), T.StructField("n", T.IntegerType())]
+        [T.StructField("ngram", suffixes.schema["suffix"].dataType), T.StructField("n", T.IntegerType())]
         + [T.StructField(x, T.LongType()) for x in ("occurrences", "records")]
         + [T.StructField("rec", T.StringType()), T.StructField("bound", T.BooleanType())]
     )

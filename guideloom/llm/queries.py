@@ -59,6 +59,15 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_counts(spark, d).where("mark is not null").select("target_seq", "mark")
 
 
+def p6_kmers(spark: SparkSession, d: str) -> DataFrame:
+    """All runs of three to six bases in the distinct target sequences: occurrences, sequences that hold them, and whether too rare or too common."""
+    sequences = _counted_hits(spark, d).select("target_seq").distinct()
+    counts = ngram_counts(sequences, F.col("target_seq"), F.col("target_seq"), max_n=6, min_n=3)
+    total = sequences.agg(F.count(F.lit(1))).scalar()
+    mark = F.when(F.col("occurrences") == 1, "rare").when(F.col("records") * 20 >= total, "common")
+    return counts.select(F.col("ngram").alias("kmer"), "n", "occurrences", "records", mark.alias("mark"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     """Token ids of every document."""
     return token_ids(table(spark, d, "documents"), "doc_id", "text")
@@ -91,7 +100,7 @@ def p10_texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_sites, p2_pieces, p4_found, p6_found, p6_counts, p8_ids, p8_roundtrip, p9_bins, p10_found, p10_texts)
+    f.__name__: f for f in (p2_found, p2_sites, p2_pieces, p4_found, p6_found, p6_counts, p6_kmers, p8_ids, p8_roundtrip, p9_bins, p10_found, p10_texts)
 }
 
 _PIECES = """WITH RECURSIVE c AS (
@@ -127,5 +136,11 @@ LEFT JOIN r ON l.chrom_idx = r.chrom_idx AND l.start_pos >= r.s AND l.start_pos
 k AS (SELECT query_name, result_id, row_number() OVER (PARTITION BY query_name ORDER BY score DESC, target_name NULLS FIRST) AS p FROM b WHERE r = 1)
 SELECT query_name, result_id FROM k WHERE p <= 5""",
     "p6_counts": _COUNTS + "SELECT target_seq, n_hits, n_queries, mark FROM m",
+    "p6_kmers": """WITH s AS (
+  SELECT DISTINCT upper(target_seq) AS q FROM search_hits WHERE query_name IS NOT NULL AND target_name IS NOT NULL AND regexp_full_match(upper(target_seq), '[ACGT]+')),
+p AS (SELECT q, unnest(range(1, length(q) + 1)) AS i FROM s),
+g AS (SELECT q, n, substr(q, i, n) AS kmer FROM p, (SELECT unnest([3, 4, 5, 6]) AS n) WHERE i + n <= length(q) + 1),
+c AS (SELECT kmer, CAST(n AS INTEGER) AS n, count(*) AS occurrences, count(DISTINCT q) AS records FROM g GROUP BY kmer, n)
+SELECT *, CASE WHEN occurrences = 1 THEN 'rare' WHEN records * 20 >= (SELECT count(*) FROM s) THEN 'common' END AS mark FROM c""",
     "p6_found": _COUNTS + "SELECT target_seq, mark FROM m WHERE mark IS NOT NULL",
 }
