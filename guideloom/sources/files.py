@@ -49,7 +49,7 @@ def read_annotation(spark: SparkSession, path: str) -> DataFrame:
 
 def attribute(attributes: Column, name: str) -> Column:
     """Value of the first attribute with exactly this name, written `name=value` or `name "value"`; blanks and quotes around it stripped, null if missing."""
-    masked = F.regexp_replace(attributes, r'\\"', "\\\\\\\\\u0001")
+    masked = F.replace(attributes, F.lit('\\"'), F.lit("\\\u0001"))
     parts = F.regexp_extract_all(masked, F.lit(r'(?:[^;"]|"[^"]*")+'), F.lit(0))
     own = F.filter(parts, lambda p: p.rlike(rf"^\s*{name}(?:[=\s]|$)"))
     value = F.regexp_replace(F.try_element_at(own, F.lit(1)), rf"^\s*{name}[=\s]?", "")
