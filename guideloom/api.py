@@ -15,6 +15,7 @@ from guideloom.operators.report import Progress, write_report
 from guideloom.operators.scored import scored_hits
 from guideloom.operators.search import search
 from guideloom.params import SearchParams, memory_estimate_mib
+from guideloom.plans.scratch import Scratch
 
 
 @dataclass
@@ -45,7 +46,9 @@ class OffTargetSession:
     def raw(self, queries: DataFrame, contigs: DataFrame) -> DataFrame:
         """Raw hits of query sequences in a genome."""
         p = self.params
-        hits = search(self.query_sites(queries), self.target_sites(contigs), p.spacer_length, p.max_mismatch, p.max_indel)
+        scratch = Scratch(self.spark, "sites")  # both are read several times
+        sides = (scratch.written(x.select("name", "seq")) for x in (self.query_sites(queries), self.target_sites(contigs)))
+        hits = search(*sides, p.spacer_length, p.max_mismatch, p.max_indel)
         return raw_hits(hits)
 
     def scored(self, queries: DataFrame, contigs: DataFrame) -> DataFrame:

@@ -78,8 +78,10 @@ def _sites_of_length(tiled: DataFrame, pams: list[str], params: SearchParams, ti
     found = places.select("chrom_idx", "chrom", "len", "origin", "bytes", F.inline(F.array(*sides))).where(
         F.col("hit") & (F.col("start0") >= 0) & (F.col("start0") + length <= F.col("len"))
     )
-    forward = slice_at(F.col("start0"), length)
-    return found.select("chrom_idx", "chrom", "start0", F.lit(length).alias("length"), "is_reverse", F.when(F.col("is_reverse"), reverse_complement(forward)).otherwise(forward).alias("seq"))
+    # The generators bind each sequence once: filters on it can't move below them, where rows still hold their tile.
+    bound = found.select("chrom_idx", "chrom", "start0", "is_reverse", F.inline(F.array(F.struct(slice_at(F.col("start0"), length).alias("forward")))))
+    oriented = F.when(F.col("is_reverse"), reverse_complement(F.col("forward"))).otherwise(F.col("forward"))
+    return bound.select("chrom_idx", "chrom", "start0", F.lit(length).alias("length"), "is_reverse", F.inline(F.array(F.struct(oriented.alias("seq")))))
 
 
 def extract_sites(contigs: DataFrame, params: SearchParams, both_pams: bool, dust: bool = True, tile: int = TILE, spread: bool = True) -> DataFrame:

@@ -11,8 +11,9 @@ from guideloom.operators import hits as H
 from guideloom.operators.annotation import annotation_sequences, transcript_parts
 from guideloom.operators.extraction import extract_sites, genome, slices
 from guideloom.operators.scored import padded_targets, scored_hits
-from guideloom.operators.search import indel_pairs, mismatch_pairs, with_sites
+from guideloom.operators.search import indel_pairs, mismatch_pairs, search, with_sites
 from guideloom.params import SearchParams, memory_estimate_mib
+from guideloom.plans.scratch import Scratch
 from guideloom.sources.annotation_lines import loaded, parse_annotation_lines
 from guideloom.sources.files import attribute, raw_lines, scored_lines
 from guideloom.tables import Query, table
@@ -115,7 +116,8 @@ def _search_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     located = _located(spark, d).where(F.col("site_id") % QUERY_STEP == 0)
     queries = located.select(F.col("site_id").cast("string").alias("name"), "seq")
     targets = extract_sites(_genome(spark, d), PARAMS, both_pams=True).select("name", "seq")
-    return queries, targets
+    scratch = Scratch(spark, "sites")  # both are read several times
+    return scratch.written(queries), scratch.written(targets)
 
 
 def mismatch_join(spark: SparkSession, d: str) -> DataFrame:
@@ -131,7 +133,8 @@ def indel_join(spark: SparkSession, d: str) -> DataFrame:
 
 def genome_search(spark: SparkSession, d: str) -> DataFrame:
     """Raw result of both searches on the genome: union by priority, and frequency."""
-    return H.raw_hits(mismatch_join(spark, d).unionByName(indel_join(spark, d)))
+    queries, targets = _search_sides(spark, d)
+    return H.raw_hits(search(queries, targets, PARAMS.spacer_length, PARAMS.max_mismatch, PARAMS.max_indel))
 
 
 def combine_priority(spark: SparkSession, d: str) -> DataFrame:
