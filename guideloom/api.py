@@ -13,9 +13,18 @@ from guideloom.operators.extraction import extract_sites, genome
 from guideloom.operators.hits import ordered_summary, query_summary, raw_hits
 from guideloom.operators.report import Progress, write_report
 from guideloom.operators.scored import scored_hits
-from guideloom.operators.search import search
+from guideloom.operators.search import indel_pairs, mismatch_pairs, search, with_sites
 from guideloom.params import SearchParams, memory_estimate_mib
 from guideloom.plans.scratch import Scratch
+from guideloom.sources.files import read_fasta
+
+
+def search_files(spark: SparkSession, queries: str, targets: str, length: int, limit: int, indels: bool = False) -> DataFrame:
+    """Hits between the sequences of two FASTA files, taken as sites: by mismatches, or by indels."""
+    q, t = (read_fasta(spark, path).select(F.col("chrom_name").alias("name"), F.col("chrom_sequence").alias("seq")) for path in (queries, targets))
+    if indels:
+        return with_sites(indel_pairs(q, t, length, limit), q, t, F.lit("Indel"))
+    return with_sites(mismatch_pairs(q, t, length, limit), q, t, F.when(F.col("distance") == 0, "Exact").otherwise("Mismatch"))
 
 
 @dataclass

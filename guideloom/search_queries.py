@@ -10,12 +10,13 @@ from guideloom.functions.scoring import event_distance_udf, score_text_udf
 from guideloom.operators import hits as H
 from guideloom.operators.annotation import annotation_sequences, transcript_parts
 from guideloom.operators.extraction import extract_sites, genome, slices
+from guideloom.operators.report import report_lines
 from guideloom.operators.scored import padded_targets, scored_hits
 from guideloom.operators.search import indel_pairs, mismatch_pairs, search, with_sites
 from guideloom.params import SearchParams, memory_estimate_mib
 from guideloom.plans.scratch import Scratch
 from guideloom.sources.annotation_lines import loaded, parse_annotation_lines
-from guideloom.sources.files import attribute, raw_lines, scored_lines
+from guideloom.sources.files import attribute, hit_lines, raw_lines, scored_lines
 from guideloom.tables import Query, table
 
 PARAMS = SearchParams()
@@ -102,7 +103,8 @@ def hit_regions(spark: SparkSession, d: str) -> DataFrame:
 def hit_distances(spark: SparkSession, d: str) -> DataFrame:
     """Distances of each hit's sequences: different characters, and right-anchored edits up to the limit."""
     hits = table(spark, d, "search_hits").where("query_seq is not null and target_seq is not null").select("hit_id", F.upper("query_seq").alias("q"), F.upper("target_seq").alias("t"))
-    return hits.select("hit_id", S.hamming(F.col("q"), F.col("t")).alias("hamming"), S.right_anchored_distance(F.col("q"), F.col("t"), PARAMS.max_indel).alias("right_anchored"))
+    first = S.base_number(F.substring("t", 1, 1)).alias("first_base")
+    return hits.select("hit_id", first, S.hamming(F.col("q"), F.col("t")).alias("hamming"), S.right_anchored_distance(F.col("q"), F.col("t"), PARAMS.max_indel).alias("right_anchored"))
 
 
 def event_distance(spark: SparkSession, d: str) -> DataFrame:
@@ -150,6 +152,17 @@ def raw_file(spark: SparkSession, d: str) -> DataFrame:
     return raw_lines(raw_hits(spark, d))
 
 
+def hit_file(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the older result file with five columns."""
+    return hit_lines(combine_priority(spark, d))
+
+
+def report_page(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of the HTML report of the scored results, in order."""
+    scored = table(spark, d, "scored_results").join(table(spark, d, "search_hits").select("hit_id", "query_seq", "target_seq", "genomic_frequency"), "hit_id", "left")
+    return report_lines(scored).select("part", "uniq", "query_name", "rank", "value")
+
+
 def scored_file(spark: SparkSession, d: str) -> DataFrame:
     """Lines of the scored result file."""
     return scored_lines(scored_genome_hits(spark, d))
@@ -210,7 +223,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         contig_stats, memory_estimate, sites_single_pam, sites_dual_pam, sites_down, sites_unequal_pams, dust_filter, site_sequences, site_codes, code_uniqueness, reverse_complement, hit_regions,
-        hit_distances, event_distance, mismatch_join, indel_join, genome_search, combine_priority, raw_hits, raw_file, scored_file, padded, scored_genome_hits, score_texts, query_summary,
+        hit_distances, event_distance, mismatch_join, indel_join, genome_search, combine_priority, raw_hits, raw_file, hit_file, scored_file, report_page, padded, scored_genome_hits, score_texts, query_summary,
         count_filter, over_represented, on_target_filter, line_attributes, transcript_segments,
     )
 } | {f"anno_{t}": _annotation(t) for t in ("gene", "mrna", "cds")}
@@ -298,12 +311,14 @@ SELECT round(19.320 + 8.640 * t - 0.132 * m, 6) AS standard_mib, round(19.676 +
   CASE WHEN ok THEN CAST(regexp_extract(target_name, p, 3) AS BIGINT) END AS end_1based, CASE WHEN ok THEN regexp_extract(target_name, p, 4) = '-' END AS is_reverse
 FROM (SELECT hit_id, target_name, '^(.*):(\d+)-(\d+):([+-])$' AS p, regexp_matches(target_name, '^(.*):(\d+)-(\d+):([+-])$') AS ok FROM search_hits)""",
     "hit_distances": """WITH h AS (SELECT hit_id, upper(query_seq) AS q, upper(target_seq) AS t FROM search_hits WHERE query_seq IS NOT NULL AND target_seq IS NOT NULL)
-SELECT hit_id, CASE WHEN length(q) <> length(t) THEN -1 ELSE hamming(q, t) END AS hamming, CASE WHEN d <= 2 THEN d END AS right_anchored
+SELECT hit_id, CASE WHEN t = '' THEN -1 ELSE strpos('ACGT', substr(t, 1, 1)) - 1 END AS first_base, CASE WHEN length(q) <> length(t) THEN -1 ELSE hamming(q, t) END AS hamming, CASE WHEN d <= 2 THEN d END AS right_anchored
 FROM (SELECT *, least(levenshtein(q, t), levenshtein(substr(q, 2), t), levenshtein(substr(q, 3), t), levenshtein(q, substr(t, 2)), levenshtein(q, substr(t, 3))) AS d FROM h)""",
     "combine_priority": f"WITH {_COMBINED} SELECT * FROM k",
     "raw_hits": f"WITH {_RAW} SELECT * FROM f",
     "raw_file": f"""WITH {_RAW} SELECT coalesce(query_name, '') || chr(9) || coalesce(query_seq, '') || chr(9) || coalesce(target_name, '') || chr(9) || coalesce(target_seq, '') || chr(9)
   || coalesce(CAST(distance AS VARCHAR), '') || chr(9) || coalesce(search_type, '') || chr(9) || genomic_frequency AS value FROM f""",
+    "hit_file": f"""WITH {_COMBINED} SELECT coalesce(query_name, '') || chr(9) || coalesce(query_seq, '') || chr(9) || coalesce(target_name, '') || chr(9) || coalesce(target_seq, '') || chr(9)
+  || coalesce(CAST(distance AS VARCHAR), '') AS value FROM k""",
     "mismatch_join": _sites_sql([_NGG_NAG], dust=True)
     + f""", w AS (SELECT l.site_id, l.is_reverse, substr(g.seq, l.start_pos + 1, l.spacer_length) AS w FROM spacer_locations l JOIN g ON l.chrom_idx = g.chrom_idx
   WHERE l.start_pos >= 0 AND l.start_pos + l.spacer_length <= g.len AND l.site_id % 20 = 0),

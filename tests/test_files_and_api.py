@@ -6,7 +6,7 @@ import sys
 import pytest
 from pyspark.sql import functions as F
 
-from guideloom.api import OffTargetSession
+from guideloom.api import OffTargetSession, search_files
 from guideloom.operators.annotation import annotation_sequences
 from guideloom.operators.extraction import genome
 from guideloom.operators.report import Progress, report_lines
@@ -75,6 +75,14 @@ def test_progress():
     assert [json.loads(x)["event"] for x in said] == ["step_start", "step_done", "step_start", "error"]
 
 
+def test_search_files(spark, tmp_path):
+    (tmp_path / "q.fa").write_text(">q\nACGTACGT\n")
+    (tmp_path / "t.fa").write_text(">t1\nACGTACGA\n>t2\nCGTACGTA\n>long\nACGTACGTA\n")
+    paths = [str(tmp_path / x) for x in ("q.fa", "t.fa")]
+    assert rows(search_files(spark, *paths, 8, 1)) == [("q", "ACGTACGT", "t1", "ACGTACGA", 1, "Mismatch")]
+    assert rows(search_files(spark, *paths, 8, 1, indels=True)) == [("q", "ACGTACGT", "t1", "ACGTACGA", 1, "Indel"), ("q", "ACGTACGT", "t2", "CGTACGTA", 1, "Indel")]
+
+
 def features(spark, strand):
     data = [(1, "gene", 3, 30, strand, None, "gene:G1", None), (2, "mRNA", 3, 30, strand, None, "gene:G1-mRNA1", "gene:G1"), (3, "exon", 3, 10, strand, None, "e1", "gene:G1-mRNA1"), (4, "exon", 15, 22, strand, None, "e2", " gene:G1-mRNA1 "), (5, "CDS", 5, 10, strand, 0, "c1", "gene:G1-mRNA1"), (6, "CDS", 15, 20, strand, 2, "c2", "gene:G1-mRNA1"), (7, "gene", 40, 400, "+", None, "gene:out", None), (8, "exon", 1, 4, "+", None, "e3", "gene:out-mRNA1"), (9, "exon", 44, 99, "+", None, "e4", "gene:out-mRNA1")]
     return spark.createDataFrame([("T", 0, *x) for x in data], "seqid string, loaded_at int, row_id long, feature string, start_1based long, end_1based long, strand string, phase int, id string, parent string")
