@@ -12,6 +12,7 @@ import base64
 import heapq
 import os
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -68,27 +69,28 @@ def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[s] for s in symbol if s is not None]
 
 
+class _Kept(dict):
+    """Ids of the pre-tokens seen so far, computed when first asked for; long ones are not kept."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+
+    def __missing__(self, piece: str) -> list[int]:
+        ids = merge_bytes(piece.encode(), self.ranks)
+        if len(piece) <= LONGEST_KEPT:
+            if len(self) >= KEPT_PRETOKENS:
+                self.clear()
+            self[piece] = ids
+        return ids
+
+
 def encoder(ranks: dict[bytes, int]) -> Callable[[str], list[int]]:
     """A function from a text to its ids; special tokens' strings are ordinary text."""
     import regex
 
-    find = regex.compile(PATTERN).findall
-    kept: dict[str, list[int]] = {}
-
-    def encode(text: str) -> list[int]:
-        ids: list[int] = []
-        for piece in find(text):
-            got = kept.get(piece)
-            if got is None:
-                got = merge_bytes(piece.encode(), ranks)
-                if len(piece) <= LONGEST_KEPT:
-                    if len(kept) >= KEPT_PRETOKENS:
-                        kept.clear()
-                    kept[piece] = got
-            ids += got
-        return ids
-
-    return encode
+    find, ids_of = regex.compile(PATTERN).findall, _Kept(ranks).__getitem__
+    return lambda text: list(chain.from_iterable(map(ids_of, find(text))))
 
 
 def _broadcast_vocabulary(df: DataFrame, path: str):
@@ -120,7 +122,7 @@ def _encode_batches(ranks: dict[bytes, int]):
     def step(texts: pa.Array, kind: pa.DataType) -> pa.Array:
         ids = [encode(t) if t else [] for t in texts.to_pylist()]
         offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        flat = np.fromiter((i for x in ids for i in x), np.int32, int(offsets[-1]))
+        flat = np.fromiter(chain.from_iterable(ids), np.int32, int(offsets[-1]))
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)).cast(kind)
 
     return step
