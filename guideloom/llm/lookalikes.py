@@ -96,7 +96,15 @@ def transducer(table: dict[int, str]) -> Callable[[str], str]:
                 forms[cluster] = got
         return got
 
-    return lambda text: text if text.isascii() else longest.sub(form_of, text)
+    joins = regex.compile(rf"[{JAMO}{follows}]").search
+
+    def apply(text: str) -> str:
+        if text.isascii():
+            return text
+        # Where nothing joins a base, every cluster is one character.
+        return longest.sub(form_of, text) if joins(text) else text.translate(table)
+
+    return apply
 
 
 def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
