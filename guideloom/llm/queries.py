@@ -11,6 +11,7 @@ from guideloom.llm.packing import pack_items
 from guideloom.llm.splitting import sites_in_pieces, split_sequences
 from guideloom.llm.tokenize import decoded_texts, token_counts, token_ids
 from guideloom.llm.topn import top_n_per_group
+from guideloom.plans.scratch import Scratch
 from guideloom.tables import Query, table
 
 PIECE_LIMIT = 6000
@@ -76,7 +77,7 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
 def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     """Number of tokens of every document, and whether decoding its ids gives its text again (true where there is none)."""
     documents = table(spark, d, "documents")
-    ids = token_ids(documents, "doc_id", "text")
+    ids = Scratch(spark, "tokens").written(token_ids(documents, "doc_id", "text"))
     decoded = decoded_texts(ids, "doc_id", "ids").withColumnRenamed("text", "decoded").join(ids.select("doc_id", F.size("ids").alias("n_tokens")), "doc_id")
     same = F.coalesce("text", F.lit("")) == F.col("decoded")
     return documents.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", "n_tokens", same.alias("same"))
