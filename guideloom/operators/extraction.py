@@ -119,5 +119,7 @@ def slices(wanted: DataFrame, contigs: DataFrame, tile: int = TILE) -> DataFrame
     met = looks.join(parts, (F.col("chrom") == F.col("t_chrom")) & (F.col("look") == F.col("tile_no"))).where("need <= len")
     first = F.greatest(F.col("lo") - F.col("origin"), F.lit(0))
     part = F.substring("bytes", (first + 1).cast("int"), (F.least(F.col("hi") - F.col("origin"), F.lit(tile)) - first).cast("int")).cast("string")
-    whole = met.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("tile_no", part.alias("part")))).alias("parts"))
+    # The generator binds the part, so that no row with its tile goes on to the aggregation.
+    cut = met.select("item", "tile_no", F.inline(F.array(F.struct(part.alias("part")))))
+    whole = cut.groupBy("item").agg(F.sort_array(F.collect_list(F.struct("tile_no", "part"))).alias("parts"))
     return whole.select("item", F.array_join(F.col("parts.part"), "").alias("seq"))
