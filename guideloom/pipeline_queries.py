@@ -72,7 +72,7 @@ _STACKED = """SELECT 'query_name' AS key_field, query_name AS key_value, distanc
 UNION ALL SELECT 'target_name', target_name, distance, search_type FROM search_hits"""
 
 # The nine columns of a record line; c9 with escaped quotes masked.
-_LINES = r"""WITH t AS (
+RECORD_LINES = r"""WITH t AS (
   SELECT line_no, file_name, regexp_replace(line, '\r$', '') AS s FROM raw_annotation WHERE line IS NOT NULL),
 r AS (
   SELECT line_no, file_name, s, string_split(s, chr(9)) AS f FROM t WHERE regexp_matches(s, '[^ \t\r\n\v\f]') AND s NOT LIKE '#%'),
@@ -111,8 +111,8 @@ WHERE key_value IS NOT NULL GROUP BY ALL HAVING count(*) * 50 >= (SELECT count(*
   count(*) FILTER (WHERE search_type = 'Exact') AS n_exact, count(*) FILTER (WHERE search_type = 'Indel') AS n_indel,
   min(distance) AS best_distance, max(distance) AS worst_distance, CAST(sum(distance) AS BIGINT) AS sum_distance
 FROM ({_STACKED}) GROUP BY ALL""",
-    "p3_found": f"{_LINES} SELECT line_no, reason FROM j WHERE reason IS NOT NULL",
-    "p3_loaded": f"""{_LINES} SELECT line_no, f[1] AS seqid, f[2] AS source, f[3] AS feature, CAST(f[4] AS BIGINT) AS start_1based,
+    "p3_found": f"{RECORD_LINES} SELECT line_no, reason FROM j WHERE reason IS NOT NULL",
+    "p3_loaded": f"""{RECORD_LINES} SELECT line_no, f[1] AS seqid, f[2] AS source, f[3] AS feature, CAST(f[4] AS BIGINT) AS start_1based,
   CAST(f[5] AS BIGINT) AS end_1based, f[6] AS score, f[7] AS strand, CAST(nullif(f[8], '.') AS INTEGER) AS phase, f[9] AS attributes, file_name
 FROM j WHERE reason IS NULL""",
     "p5_found": f"""WITH RECURSIVE {_LINKS}

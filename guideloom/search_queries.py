@@ -14,6 +14,7 @@ from guideloom.operators.report import report_lines
 from guideloom.operators.scored import padded_targets, scored_hits
 from guideloom.operators.search import indel_pairs, mismatch_pairs, search, with_sites
 from guideloom.params import SearchParams, memory_estimate_mib
+from guideloom.pipeline_queries import RECORD_LINES
 from guideloom.plans.scratch import Scratch
 from guideloom.sources.annotation_lines import loaded, parse_annotation_lines
 from guideloom.sources.files import attribute, hit_lines, raw_lines, scored_lines
@@ -290,6 +291,26 @@ q AS (SELECT r.*, substr(substr(c.seq, start_1based, end_1based - start_1based +
 j AS (SELECT name, max(strand) AS strand, string_agg(part, '' ORDER BY start_1based, end_1based, id) AS seq FROM q GROUP BY name HAVING bool_and(coalesce(good, false)))
 SELECT name, CASE WHEN strand = '-' THEN {_RC.format("seq")} ELSE seq END AS seq FROM j WHERE seq <> ''"""
 
+_SIDES = (
+    _sites_sql([_NGG_NAG], dust=True)
+    + f""", w AS (SELECT l.site_id, l.is_reverse, substr(g.seq, l.start_pos + 1, l.spacer_length) AS w FROM spacer_locations l JOIN g ON l.chrom_idx = g.chrom_idx
+  WHERE l.start_pos >= 0 AND l.start_pos + l.spacer_length <= g.len AND l.site_id % {QUERY_STEP} = 0),
+q AS (SELECT CAST(site_id AS VARCHAR) AS query_name, CASE WHEN is_reverse THEN {_RC.format("w")} ELSE w END AS query_seq FROM w WHERE length(w) = 20),
+n AS (SELECT DISTINCT name AS target_name, seq AS target_seq FROM sd)"""
+)
+_MISMATCHES = """dq AS (SELECT DISTINCT query_seq, regexp_replace(query_seq, '[^ACGT]', 'A', 'g') AS a FROM q),
+dt AS (SELECT DISTINCT target_seq, regexp_replace(target_seq, '[^ACGT]', 'A', 'g') AS b FROM n),
+x AS (SELECT query_seq, target_seq, hamming(a, b) AS distance FROM dq, dt WHERE hamming(a, b) <= 4),
+mm AS (SELECT query_name, x.query_seq, target_name, x.target_seq, CAST(distance AS INTEGER) AS distance, CASE WHEN distance = 0 THEN 'Exact' ELSE 'Mismatch' END AS search_type
+  FROM x JOIN q ON q.query_seq = x.query_seq JOIN n ON n.target_seq = x.target_seq)"""
+# Levenshtein of all pairs takes DuckDB minutes, so candidates share six bases within two places, as every pair with two edits must.
+_INDELS = """qk AS (SELECT DISTINCT query_seq, a, substr(query_seq, a + 1, 6) AS key FROM q, (SELECT unnest([2, 8, 14]) AS a)),
+tk AS (SELECT DISTINCT target_seq, a, substr(target_seq, a + move + 1, 6) AS key FROM n, (SELECT unnest([2, 8, 14]) AS a), (SELECT unnest([-2, -1, 0, 1, 2]) AS move) WHERE a + move + 6 <= 20),
+near AS (SELECT DISTINCT query_seq AS s, target_seq AS t FROM qk JOIN tk ON qk.a = tk.a AND qk.key = tk.key),
+y AS (SELECT s, t, least(levenshtein(s, t), levenshtein(substr(s, 2), t), levenshtein(substr(s, 3), t), levenshtein(s, substr(t, 2)), levenshtein(s, substr(t, 3))) AS distance FROM near),
+ii AS (SELECT query_name, query_seq, target_name, target_seq, CAST(distance AS INTEGER) AS distance, 'Indel' AS search_type
+  FROM y JOIN q ON q.query_seq = y.s JOIN n ON n.target_seq = y.t WHERE distance <= 2)"""
+
 
 SQL = {
     "contig_stats": f"WITH {_G} SELECT count(*) AS n_contigs, CAST(sum(len) AS BIGINT) AS total_bases, max(len) AS longest FROM g",
@@ -319,15 +340,18 @@ FROM (SELECT *, least(levenshtein(q, t), levenshtein(substr(q, 2), t), levenshte
   || coalesce(CAST(distance AS VARCHAR), '') || chr(9) || coalesce(search_type, '') || chr(9) || genomic_frequency AS value FROM f""",
     "hit_file": f"""WITH {_COMBINED} SELECT coalesce(query_name, '') || chr(9) || coalesce(query_seq, '') || chr(9) || coalesce(target_name, '') || chr(9) || coalesce(target_seq, '') || chr(9)
   || coalesce(CAST(distance AS VARCHAR), '') AS value FROM k""",
-    "mismatch_join": _sites_sql([_NGG_NAG], dust=True)
-    + f""", w AS (SELECT l.site_id, l.is_reverse, substr(g.seq, l.start_pos + 1, l.spacer_length) AS w FROM spacer_locations l JOIN g ON l.chrom_idx = g.chrom_idx
-  WHERE l.start_pos >= 0 AND l.start_pos + l.spacer_length <= g.len AND l.site_id % 20 = 0),
-q AS (SELECT CAST(site_id AS VARCHAR) AS query_name, CASE WHEN is_reverse THEN {_RC.format("w")} ELSE w END AS query_seq FROM w WHERE length(w) = 20),
-dq AS (SELECT DISTINCT query_seq, regexp_replace(query_seq, '[^ACGT]', 'A', 'g') AS a FROM q),
-dt AS (SELECT DISTINCT seq AS target_seq, regexp_replace(seq, '[^ACGT]', 'A', 'g') AS b FROM sd),
-x AS (SELECT query_seq, target_seq, hamming(a, b) AS distance FROM dq, dt WHERE hamming(a, b) <= 4)
-SELECT query_name, query_seq, n.name AS target_name, target_seq, CAST(distance AS INTEGER) AS distance, CASE WHEN distance = 0 THEN 'Exact' ELSE 'Mismatch' END AS search_type
-FROM x JOIN q USING (query_seq) JOIN (SELECT DISTINCT name, seq FROM sd) n ON n.seq = x.target_seq""",
+    "mismatch_join": f"{_SIDES}, {_MISMATCHES} SELECT * FROM mm",
+    "indel_join": f"{_SIDES}, {_INDELS} SELECT * FROM ii",
+    "genome_search": f"""{_SIDES}, {_MISMATCHES}, {_INDELS},
+search_hits AS (SELECT * FROM mm UNION ALL SELECT * FROM ii),
+{_RAW} SELECT query_name, query_seq, target_name, target_seq, distance, search_type, genomic_frequency FROM f""",
+    "line_attributes": f"{RECORD_LINES} SELECT line_no, "
+    + ", ".join(
+        f"""replace(regexp_replace(regexp_replace(regexp_replace(list_filter(regexp_extract_all(m, '(?:[^;"]|"[^"]*")+'), lambda x: regexp_matches(x, '^\\s*{n}([=\\s]|$)'))[1],
+  '^\\s*{n}[=\\s]?', ''), '^[\\s"]+', ''), '[\\s"]+$', ''), chr(1), '"') AS {n.lower()}"""
+        for n in ("ID", "Parent", "gene_id")
+    )
+    + " FROM j WHERE reason IS NULL",
     "padded": f"""WITH {_LAST_CONTIG},
 n AS (SELECT DISTINCT target_name FROM search_hits WHERE regexp_matches(target_name, '^(.*):(\\d+)-(\\d+):([+-])$')),
 p AS (SELECT target_name, regexp_extract(target_name, '^(.*):\\d+-\\d+:[+-]$', 1) AS chrom, CAST(regexp_extract(target_name, ':(\\d+)-\\d+:[+-]$', 1) AS BIGINT) - 1 AS lo,
