@@ -8,6 +8,7 @@ local temporary folder is made. A written table survives the loss of executors.
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -67,5 +68,7 @@ def _clean_up() -> None:
     for root, spark in Scratch._roots.items():
         try:
             _delete(spark, root)
-        except Exception:  # the session is gone; its folder is the cluster's to clear
-            pass
+        except Exception:  # the session is gone: a local folder can still be cleared, others are the cluster's to clear
+            local = root.removeprefix("file://")
+            if local.startswith("/"):
+                shutil.rmtree(local, ignore_errors=True)
