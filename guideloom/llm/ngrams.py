@@ -106,7 +106,8 @@ def ngram_counts(df: DataFrame, tokens: Column, record: Column, max_n: int = 1,
     """Columns ngram, n, occurrences, records: counts of all n-grams of min_n to max_n tokens.
 
     ``tokens`` is an array of strings (n-grams are arrays) or a string (its characters are the
-    tokens, n-grams are strings). Rows where it or ``record`` is null take no part, an empty one
+    tokens, n-grams are strings; for short strings, as cutting costs their length squared: give long
+    texts as arrays). Rows where it or ``record`` is null take no part, an empty one
     has no n-grams, a null token counts as an empty string. ``tie`` only spreads rows with equal
     suffix and record over partitions; it must be deterministic. Every row counts, also repeated
     ones. An empty table gives no rows. Other columns are not read.
