@@ -22,8 +22,8 @@ from guideloom.plans.ordering import batches
 from guideloom.plans.scratch import Scratch
 
 # Letters that look like Latin ones, in the order of the Latin letters beside them.
-CYRILLIC = ("АВСЕНІЈКМОРЅТХУасԁеһіјӏорԛѕԝху", "ABCEHIJKMOPSTXYacdehijlopqswxy")
-GREEK = ("ΑΒΕΗΙΚΜΝΟΡΤΧΥΖαινορυ", "ABEHIKMNOPTXYZaivopu")
+CYRILLIC = ("АВСЕНІӀЈКМОРԚЅТԜХУҮасԁеһіјӏорԛѕԝху", "ABCEHIIJKMOPQSTWXYYacdehijlopqswxy")
+GREEK = ("ΑΒϹΕΗΙΚΜΝΟΡΤΧΥΖαϲιϳνορυ", "ABCEHIKMNOPTXYZacijvopu")
 # Code points without width, as ranges.
 WIDTHLESS = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0001, 0xE007F), (0xE0100, 0xE01EF))
 HALF_WIDTH_MARKS = "ﾞﾟ"
