@@ -109,7 +109,8 @@ def right_anchored_distance(q: Column, t: Column, limit: int) -> Column:
     for k in range(1, limit + 1):
         terms.append(F.levenshtein(q.substr(F.lit(k + 1), F.length(q)), t, limit))
         terms.append(F.levenshtein(q, t.substr(F.lit(k + 1), F.length(t)), limit))
-    return F.array_min(F.filter(F.array(*terms), lambda x: x >= 0))
+    far = 1 << 20  # takes the place of -1, which a term over the limit gives
+    return F.nullif(F.least(*(F.pmod(x, F.lit(far + 1)) for x in terms)) if len(terms) > 1 else F.pmod(terms[0], F.lit(far + 1)), F.lit(far))
 
 
 def site_name(chrom: Column, start0: Column, length: Column, is_reverse: Column) -> Column:
