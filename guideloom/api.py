@@ -44,9 +44,11 @@ class OffTargetSession:
         return extract_sites(genome(contigs), self.params, both_pams=True)
 
     def gene_queries(self, features: DataFrame, contigs: DataFrame, gene: str, seq_type: str) -> DataFrame:
-        """Query sequences of one gene (its transcripts for `mrna` and `cds`); an error if there are none."""
-        all_of_type = annotation_sequences(features, genome(contigs), seq_type)
-        own = all_of_type.where((F.col("name") == gene) | F.col("name").startswith(f"{gene}-mRNA"))
+        """Query sequences of one gene (its transcripts for `mrna` and `cds`); an error if there are none.
+
+        ``features`` are rows like those of annotation_features, which makes them from a file.
+        """
+        own = annotation_sequences(features, genome(contigs), seq_type, gene)
         rows = own.select(F.xxhash64("name").alias("chrom_idx"), F.col("name").alias("chrom_name"), F.col("seq").alias("chrom_sequence"))
         if not rows.limit(1).count():
             raise ValueError(f"nothing extracted for {gene}")

@@ -142,7 +142,7 @@ class LineIndex:
         return pa.StringArray.from_buffers(len(lo), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(self.data[source]))
 
 
-def _classify(index: LineIndex) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
+def _classify(index: LineIndex, strict: bool = True) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarray]:
     """Of the buffer's records: their lines, reason numbers (-1: valid), field bounds of those with nine columns and their mask."""
     which = np.flatnonzero(index.records())
     count, lo, hi = index.fields(which)
@@ -155,16 +155,17 @@ def _classify(index: LineIndex) -> tuple[np.ndarray, np.ndarray, tuple, np.ndarr
         one = hi[:, 7] - lo[:, 7] == 1
         byte = index.data[lo[:, 7]]
         cds = index.equals(lo[:, 2], hi[:, 2], "cds")
-        phase = ~(one & (((byte >= 48) & (byte <= 50)) | ((byte == DOT) & ~cds)))
-        needs_id = np.zeros(len(lo), dtype=bool)
-        for word in ID_FEATURES:
-            needs_id |= index.equals(lo[:, 2], hi[:, 2], word)
-        no_id = needs_id & ~index.has_id(lo[:, 8], hi[:, 8])
+        phase = ~(one & (((byte >= 48) & (byte <= 50)) | ((byte == DOT) & ~(cds & strict))))
+        no_id = np.zeros(len(lo), dtype=bool)
+        if strict:
+            for word in ID_FEATURES:
+                no_id |= index.equals(lo[:, 2], hi[:, 2], word)
+            no_id &= ~index.has_id(lo[:, 8], hi[:, 8])
         reason[nine] = np.select([odd, place, phase, no_id], [1, 2, 3, 4], -1)
     return which, reason, (lo, hi), nine
 
 
-def _parse(schema: pa.Schema):
+def _parse(schema: pa.Schema, strict: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches(it):
             line_no, line, file_name = batch.columns
@@ -177,7 +178,7 @@ def _parse(schema: pa.Schema):
             bounds = np.frombuffer(offsets, np.int64)[line.offset : line.offset + len(line) + 1]
             data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
             index = LineIndex(data[bounds[0] : bounds[-1]], bounds[:-1] - bounds[0], bounds[1:] - bounds[0])
-            which, reason, (lo, hi), nine = _classify(index)
+            which, reason, (lo, hi), nine = _classify(index, strict)
             if not len(which):
                 continue
             ok = reason == -1
@@ -202,16 +203,17 @@ def _parse(schema: pa.Schema):
     return run
 
 
-def parse_annotation_lines(df: DataFrame, line_no: str = "line_no", line: str = "line", file_name: str = "file_name") -> DataFrame:
+def parse_annotation_lines(df: DataFrame, line_no: str = "line_no", line: str = "line", file_name: str = "file_name", strict: bool = True) -> DataFrame:
     """One row per record line: parsed columns where it is valid, else ``reason`` (the first that applies of REASONS).
 
     One return character at a line's end is dropped first. Null and blank lines and lines that
     start with `#` hold no record and give no row. Repeated lines are parsed each. Valid rows
     have a null ``reason``; reject rows have null parsed columns; ``line`` is as delivered.
-    A `.` phase is null. An empty table gives no rows. Other columns are not read.
+    A `.` phase is null. Without ``strict`` genes and transcripts need no ID, and a CDS may have a
+    `.` phase, as in GTF files. An empty table gives no rows. Other columns are not read.
     """
     rows = df.select(F.col(line_no).cast("long").alias("line_no"), F.col(line).cast("string").alias("line"), F.col(file_name).cast("string").alias("file_name"))
-    return rows.mapInArrow(_parse(to_arrow_schema(RECORD)), RECORD)
+    return rows.mapInArrow(_parse(to_arrow_schema(RECORD), strict), RECORD)
 
 
 def rejects(parsed: DataFrame) -> DataFrame:

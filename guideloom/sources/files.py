@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guideloom.functions.scoring import score_text_udf
-from guideloom.sources.annotation_lines import parse_annotation_lines
+from guideloom.operators.annotation import GENE, PARTS, TRANSCRIPTS
+from guideloom.sources.annotation_lines import loaded, parse_annotation_lines
 
 # Column names of the result files.
 RAW_COLUMNS = ["QueryName", "QuerySeq", "TargetName", "TargetSeq", "Distance", "SearchType", "GenomicFrequency"]
@@ -42,9 +43,9 @@ def read_fastq(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_annotation(spark: SparkSession, path: str) -> DataFrame:
-    """Parsed lines of GFF3 or GTF files; see parse_annotation_lines."""
+    """Parsed lines of GFF3 or GTF files, rejects among them; see parse_annotation_lines (not strict)."""
     lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"), F.input_file_name().alias("file_name"))
-    return parse_annotation_lines(lines)
+    return parse_annotation_lines(lines, strict=False)
 
 
 def attribute(attributes: Column, name: str) -> Column:
@@ -56,6 +57,29 @@ def attribute(attributes: Column, name: str) -> Column:
     return F.replace(F.regexp_replace(value, r'^[\s"]+|[\s"]+$', ""), F.lit("\u0001"), F.lit('"'))
 
 
+def annotation_features(parsed: DataFrame) -> DataFrame:
+    """Features (seqid, loaded_at, row_id, feature, start_1based, end_1based, strand, phase, id, parent, gene_id) of the valid parsed lines.
+
+    A gene's id is its ID, gene_id, gene_name or Name, a transcript's its ID or transcript_id; the
+    parent of an exon or CDS part is its Parent or transcript_id, and each part is a feature of its
+    own, whatever its ID. Lines without these, and other features, are left out. gene_id is null
+    where a part has none of its own; transcript_parts then takes it from the transcript.
+    """
+
+    def first(*names: str) -> Column:
+        return F.coalesce(*(F.nullif(attribute(F.col("attributes"), n), F.lit("")) for n in names))
+
+    feature = F.lower("feature")
+    gene, transcript, part = feature == GENE, feature.isin(*TRANSCRIPTS), feature.isin(*PARTS)
+    rows = loaded(parsed).where(gene | transcript | part).select(
+        "seqid", F.lit(0).alias("loaded_at"), F.col("line_no").alias("row_id"), feature.alias("feature"), "start_1based", "end_1based", "strand", "phase",
+        F.when(gene, first("ID", "gene_id", "gene_name", "Name")).when(transcript, first("ID", "transcript_id")).otherwise(F.col("line_no").cast("string")).alias("id"),
+        F.when(transcript, first("Parent", "gene_id")).when(part, first("Parent", "transcript_id")).alias("parent"),
+        F.when(part, first("gene_id")).alias("gene_id"),
+    )
+    return rows.where(F.col("id").isNotNull() & (~F.col("feature").isin(*PARTS) | F.col("parent").isNotNull()))
+
+
 def read_scored(spark: SparkSession, path: str) -> DataFrame:
     """A scored result file as text columns; lines with fewer than nine columns are left out."""
     lines = spark.read.text(path).select(F.regexp_replace("value", r"\r$", "").alias("line"))

@@ -11,7 +11,7 @@ from guideloom.operators.annotation import annotation_sequences
 from guideloom.operators.extraction import genome
 from guideloom.operators.report import Progress, report_lines
 from guideloom.params import SearchParams
-from guideloom.sources.files import RAW_COLUMNS, SCORED_COLUMNS, attribute, raw_lines, read_annotation, read_fasta, read_fastq, read_scored, scored_lines, write_lines
+from guideloom.sources.files import RAW_COLUMNS, SCORED_COLUMNS, annotation_features, attribute, raw_lines, read_annotation, read_fasta, read_fastq, read_scored, scored_lines, write_lines
 from tests.conftest import rows
 
 FASTA = ">a first > one\r\nacgt\r\nNN\r\n>b\nAC\n\nGT\n>empty\n>c:1 x\nTTTT"
@@ -117,3 +117,47 @@ def test_entry_without_the_text_subpackage():
     code = "import sys; sys.modules['guideloom.llm'] = None; import __spark_entry__ as e; print(sorted(n for n in e.queries() if n[0] == 'p' and n[1].isdigit()))"
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=__file__.rsplit("/tests", 1)[0]).stdout
     assert "p1_found" in out and "p4_found" not in out
+
+
+GTF = """#!gtf
+T\ts\tgene\t3\t30\t.\t-\t.\tgene_id "G1"; gene_name "one";
+T\ts\ttranscript\t3\t30\t.\t-\t.\tgene_id "G1"; transcript_id "G1";
+T\ts\texon\t3\t10\t.\t-\t.\tgene_id "G1"; transcript_id "G1";
+T\ts\texon\t15\t22\t.\t-\t.\tgene_id "G1"; transcript_id "G1";
+T\ts\tCDS\t5\t10\t.\t-\t0\tgene_id "G1"; transcript_id "G1";
+T\ts\tCDS\t15\t20\t.\t-\t.\tgene_id "G1"; transcript_id "G1";
+T\ts\texon\t1\t4\t.\t+\t.\tgene_id "G10"; transcript_id "G1";
+T\ts\tgene\t1\t4\t.\t+\t.\tgene_name "named";
+T\ts\tgene\t1\t4\t.\t+\t.\tnote "no name";
+T\ts\texon\t1\t4\t.\t+\t.\tgene_id "G1";
+"""
+GFF = """##gff-version 3
+T\ts\tgene\t3\t30\t.\t+\t.\tID=gene:G2
+T\ts\tmRNA\t3\t30\t.\t+\t.\tID=transcript:A;Parent=gene:G2
+T\ts\texon\t3\t10\t.\t+\t.\tParent=transcript:A
+T\ts\texon\t15\t22\t.\t+\t.\tParent=transcript:A
+T\ts\tCDS\t5\t10\t.\t+\t0\tID=cds;Parent=transcript:A
+T\ts\tCDS\t15\t20\t.\t+\t2\tID=cds;Parent=transcript:A
+T\ts\texon\t1\t4\t.\t+\t.\tParent=G3-mRNA1
+"""
+
+
+def test_search_from_a_gene_of_a_file(spark, tmp_path):
+    (tmp_path / "x.gtf").write_text(GTF)
+    (tmp_path / "x.gff").write_text(GFF)
+    contigs = spark.createDataFrame([(0, "T", T)], "chrom_idx long, chrom_name string, chrom_sequence string")
+    session = OffTargetSession(spark)
+
+    def of(name, gene, kind):
+        parsed = read_annotation(spark, str(tmp_path / name))
+        assert not parsed.where("reason is not null").count()
+        return rows(session.gene_queries(annotation_features(parsed), contigs, gene, kind).select("chrom_name", "chrom_sequence"))
+
+    assert of("x.gtf", "G1", "gene") == [("G1", "GGTTAACCGTTGCAATGGCCTAACGTAC")]
+    assert of("x.gtf", "G1", "mrna") == [("G1", "GTTGCAATTAACGTAC")]
+    assert of("x.gtf", "G1", "cds") == [("G1", "TGCAATTAACGT")]
+    assert of("x.gtf", "G10", "mrna") == [("G1", "ACGT")] and of("x.gtf", "named", "gene") == [("named", "ACGT")]
+    assert of("x.gff", "gene:G2", "mrna") == [("transcript:A", "GTACGTTAATTGCAAC")]
+    assert of("x.gff", "gene:G2", "cds") == [("transcript:A", "ACGTTATGCA")] and of("x.gff", "G3", "mrna") == [("G3-mRNA1", "ACGT")]
+    with pytest.raises(ValueError):
+        of("x.gff", "G2", "mrna")
