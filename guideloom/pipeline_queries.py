@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guideloom.operators.hierarchy import hierarchy
+from guideloom.operators.hierarchy import descendant_pairs, hierarchy
 from guideloom.operators.intervals import spans_and_gaps
 from guideloom.operators.tree_aggregate import count_of, heavy_keys, max_of, min_of, stacked_keys, sum_of, tree_aggregate
 from guideloom.sources.annotation_lines import loaded, parse_annotation_lines, rejects
@@ -61,12 +61,17 @@ def p5_hierarchy(spark: SparkSession, d: str) -> DataFrame:
     return nodes.select("id", "root_id", "node_depth", F.array_join("path", "/").alias("path"), "descendants")
 
 
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """The descendants of every feature, with their distance; features caught in circular links have none."""
+    return descendant_pairs(hierarchy(table(spark, d, "annotation_features"), "id", "parent", FEATURE_ORDER, paths=True))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     """Continuous spans of each transcript's segments and the gaps between them."""
     return spans_and_gaps(table(spark, d, "plan_segments"), "transcript_id", "start_1based", "end_1based")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_key_totals, p3_found, p3_loaded, p5_found, p5_hierarchy, p7_found)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_key_totals, p3_found, p3_loaded, p5_found, p5_hierarchy, p5_descendants, p7_found)}
 
 _STACKED = """SELECT 'query_name' AS key_field, query_name AS key_value, distance, search_type FROM search_hits
 UNION ALL SELECT 'target_name', target_name, distance, search_type FROM search_hits"""
@@ -121,6 +126,11 @@ SELECT l.id, coalesce(w.root_id, 'cycle') AS root_id, coalesce(w.node_depth, -1)
 below AS (SELECT u.up AS id, count(*) - 1 AS n FROM (SELECT unnest(string_split(path, '/')) AS up FROM walk) u GROUP BY u.up)
 SELECT l.id, coalesce(w.root_id, 'cycle') AS root_id, coalesce(w.node_depth, -1) AS node_depth, w.path, CASE WHEN w.id IS NOT NULL THEN b.n END AS descendants
 FROM links l LEFT JOIN walk w ON l.id = w.id LEFT JOIN below b ON l.id = b.id""",
+    "p5_descendants": f"""WITH RECURSIVE {_LINKS},
+up AS (
+  SELECT l.p AS ancestor_id, l.id, 1 AS distance FROM links l JOIN walk w ON l.id = w.id WHERE l.p IS NOT NULL
+  UNION ALL SELECT l.p, u.id, u.distance + 1 FROM up u JOIN links l ON u.ancestor_id = l.id WHERE l.p IS NOT NULL)
+SELECT ancestor_id, id, distance FROM up""",
     "p7_found": """WITH s AS (
   SELECT DISTINCT transcript_id, start_1based AS lo, end_1based AS hi FROM plan_segments WHERE start_1based <= end_1based),
 m AS (

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from guideloom import pipeline_queries
 from guideloom.operators.hierarchy import CYCLE, descendant_pairs, hierarchy
 from guideloom.plans.ordering import prefix_sums, with_next
 from guideloom.plans.scratch import Scratch
@@ -63,6 +64,15 @@ def test_pairs_latest_row_and_empty(spark):
     assert rows(hierarchy(df.where("false"), "id", "parent", ["loaded_at"])) == []
 
 
+def test_query_gives_the_descendants_that_the_intervals_hold(spark, tmp_path):
+    data = [(f"n{i}", f"n{i // 3}" if i else None, 1, i) for i in range(40)] + [("x", "y", 1, 90), ("y", "x", 1, 91), ("under", "x", 1, 92), ("alone", None, 1, 93)]
+    df = spark.createDataFrame(data, "id string, parent string, loaded_at long, row_id long")
+    df.write.parquet(str(tmp_path / "annotation_features.parquet"))
+    nodes = [r for r in hierarchy(df, "id", "parent", ["loaded_at", "row_id"]).collect() if r.node_depth >= 0]
+    want = sorted((a.id, x.id, x.node_depth - a.node_depth) for a in nodes for x in nodes if a.root_id == x.root_id and a.entry < x.entry < a.exit)
+    assert sorted(map(tuple, pipeline_queries.QUERIES["p5_descendants"](spark, str(tmp_path)).select("ancestor_id", "id", "distance").collect())) == want != []
+
+
 def test_prefix_sums_and_next_over_partitions(spark):
     rng = random.Random(5)
     data = [(0 if rng.random() < 0.6 else rng.randrange(40), i, rng.randrange(9)) for i in range(3000)]
