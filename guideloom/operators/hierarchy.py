@@ -4,8 +4,10 @@ Method. Leaves are peeled in rounds while a round still takes a good part of the
 small core that is left, doubling of parent links finds the nodes on cycles, and the links among
 them are cut. The core forest's Euler tour is laid out as linked lists and ranked in parallel by
 pointer jumping; peeled subtrees weigh in at their parent's place, so their own entry positions
-follow from the parent's entry and prefix sums over siblings. Entry and exit then give depth,
-root, ancestors and the interval that holds all descendants.
+follow from the parent's entry and prefix sums over siblings. Ranking also gives depth and root of
+the core; its paths come from doubling of parent links. Root, depth and path of peeled nodes come
+from joins with their parents, from the top down. Entry and exit bound the interval that holds all
+descendants and give their number; ancestors are taken from the paths, not from the intervals.
 
 Every round is a join or an aggregation of whole numbers, written to the shared folder. Rounds
 grow with the logarithm of the largest tree, not with its depth. Sibling lists are range-sorted,
