@@ -31,7 +31,7 @@ def p2_sites(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     """All contigs as texts under the limit, with the least cut penalties and imbalance in sum."""
-    return split_sequences(table(spark, d, "contigs"), "chrom_idx", "chrom_sequence", max_size=PIECE_LIMIT, objective="total", with_text=True)
+    return split_sequences(table(spark, d, "contigs"), "chrom_idx", "chrom_sequence", max_size=PIECE_LIMIT, objective="balanced", with_text=True)
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

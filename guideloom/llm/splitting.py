@@ -3,7 +3,10 @@
 Method: dynamic programming over boundary positions. A state is the start of a piece; from it the
 piece may end at any boundary inside the size window, or at the limit where the window holds none.
 The objective `total` minimises the sum of cut penalties and squared size imbalance over all
-pieces; `leftmost` compares plans piece by piece from the left (cut at a boundary first, then the
+pieces but the last, and cuts apart from boundaries only where the window holds none, at the limit;
+`balanced` minimises this sum over all pieces, the last too, and over all places of cuts: cuts
+between two boundaries are best in equal distances, so boundaries are still the only states;
+`leftmost` compares plans piece by piece from the left (cut at a boundary first, then the
 longest piece), an order under which the best plan of a state starts with its best first piece.
 
 Boundaries are found inside the JVM; only their distances travel to the tasks' Python, never the
@@ -12,9 +15,11 @@ sequences, so a very long sequence costs a short array.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from heapq import heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +59,74 @@ def best_pieces(length: int, cuts: list[int], max_size: int, min_size: int, over
     return pieces[::-1]
 
 
+def balanced_pieces(length: int, cuts: list[int], max_size: int, min_size: int, overlap: int) -> list[tuple[int, int]]:
+    """Pieces (start, end) with the least sum of penalties (1 for a cut that is no boundary) and squared imbalance of all pieces.
+
+    Takes time with the square of the number of boundaries, whatever the length.
+    """
+    if length <= max_size:
+        return [(0, length)]
+    target = (max_size + min_size) / 2
+    most, least = max_size - overlap, min_size + 1 - overlap  # bases that a piece adds
+    ends = np.array([c for c in cuts if c < length], dtype=np.int64)
+    starts = np.concatenate([[0], ends - overlap])
+    typical = math.hypot(target, target - overlap)
+
+    def equal(gain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least cost, and number of pieces, where pieces as equal as can be add ``gain`` bases; the cost is convex in the number."""
+        low, high = -(-gain // most), gain // least
+        cost, number = np.full(len(gain), np.inf), np.zeros(len(gain), dtype=np.int64)
+        for step in (-1, 0, 1, 2):
+            k = np.maximum(np.clip((gain / typical).astype(np.int64) + step, low, np.maximum(low, high)), 1)
+            size, longer = gain // k + overlap, gain % k
+            now = (k - longer) * ((size - target) / target) ** 2 + longer * ((size + 1 - target) / target) ** 2 + k - 1
+            better = (low <= high) & (now < cost)
+            cost, number = np.where(better, now, cost), np.where(better, k, number)
+        return cost, number
+
+    best = np.full(len(starts), np.inf)
+    best[0] = 0
+    before, pieces_to = np.zeros(len(starts), dtype=np.int64), np.zeros(len(starts), dtype=np.int64)
+    final: tuple[float, int, list[int]] = (math.inf, 0, [])
+    for i, start in enumerate(starts.tolist()):
+        if best[i] == math.inf:
+            continue
+        # To the end; there the last piece may be a short one.
+        gain = length - start - overlap
+        plans = [[gain]] if gain <= most else []
+        (cost,), (k,) = equal(np.array([gain]))
+        if cost < math.inf:
+            plans.append(_shares(gain, int(k)))
+        full = (gain - 1) // least
+        if 0 < full and -(-gain // most) <= full + 1:
+            plans.append([least] * full + [gain - full * least])
+        for shares in plans:
+            total = best[i] + len(shares) - 1 + sum(((x + overlap - target) / target) ** 2 for x in shares)
+            if total < final[0]:
+                final = (total, i, shares)
+        # To every later boundary.
+        first = int(np.searchsorted(ends, start + min_size, "right"))
+        if first < len(ends):
+            cost, k = equal(ends[first:] - start - overlap)
+            better = best[i] + cost < best[first + 1 :]
+            at = first + 1 + np.flatnonzero(better)
+            best[at], before[at], pieces_to[at] = best[i] + cost[better], i, k[better]
+    runs, i = [final[2]], final[1]
+    while i:
+        runs.append(_shares(int(ends[i - 1] - starts[before[i]] - overlap), int(pieces_to[i])))
+        i = int(before[i])
+    pieces, start = [], 0
+    for share in (x for run in reversed(runs) for x in run):
+        pieces.append((start, start + share + overlap))
+        start += share
+    return pieces
+
+
+def _shares(gain: int, k: int) -> list[int]:
+    """``gain`` in k whole numbers as equal as can be."""
+    return [gain // k + 1] * (gain % k) + [gain // k] * (k - gain % k)
+
+
 def boundary_distances(text: Column, gap_run: int) -> Column:
     """Lengths of the parts between ends of unbroken runs of at least ``gap_run`` N or n; their running sums are the boundaries."""
     return F.transform(F.split(text, f"(?<=[Nn]{{{gap_run}}})(?![Nn])", -1), lambda part: F.length(part))
@@ -69,14 +142,15 @@ def split_sequences(df: DataFrame, key: str, text: str, max_size: int = 6000, mi
     """
     if not 0 <= overlap < min_size < max_size:
         raise ValueError("0 <= overlap < min_size < max_size must hold")
-    if objective not in ("leftmost", "total"):
+    if objective not in ("leftmost", "total", "balanced"):
         raise ValueError(f"unknown objective {objective}")
 
     @F.pandas_udf(PIECES)
     def plan(lengths: pd.Series, distances: pd.Series) -> pd.Series:
         def one(length, parts):
             cuts = parts[:-1].cumsum().tolist()
-            return [{"piece_start": a, "piece_end": b} for a, b in best_pieces(int(length), cuts, max_size, min_size, overlap, objective)]
+            limits = int(length), cuts, max_size, min_size, overlap
+            return [{"piece_start": a, "piece_end": b} for a, b in (balanced_pieces(*limits) if objective == "balanced" else best_pieces(*limits, objective))]
 
         return pd.Series([one(n, p) for n, p in zip(lengths, distances, strict=True)], dtype=object)
 

@@ -4,7 +4,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from guideloom.llm.splitting import best_pieces, sites_in_pieces, split_sequences
+from guideloom.llm.splitting import balanced_pieces, best_pieces, sites_in_pieces, split_sequences
 from tests.conftest import rows
 
 
@@ -58,6 +58,29 @@ def test_total_objective_is_optimal():
         assert got[0][0] == 0 and all(b - a <= 60 for a, b in got) and all(y[0] == x[1] - 5 for x, y in zip(got, got[1:]))
 
 
+def test_balanced_counts_the_last_piece_and_all_cuts(spark):
+    rng = random.Random(6)
+    for size, least, overlap in ((12, 5, 2), (12, 9, 2), (20, 4, 0), (14, 6, 5)):
+        target = (size + least) / 2
+        for n in [*range(1, 70), 150]:
+            cuts = sorted(rng.sample(range(1, n + 1), rng.randrange(0, min(n, 12))))
+            off = lambda x: ((x - target) / target) ** 2  # noqa: B023, E731
+            to_end = {}
+            for s in range(n - overlap - 1, -1, -1):
+                plans = [off(n - s)] if n - s <= size else []
+                plans += [off(e - s) + (e not in cuts) + to_end[e - overlap] for e in range(s + least + 1, min(s + size, n - 1) + 1)]
+                to_end[s] = min(plans)
+            got = balanced_pieces(n, cuts, size, least, overlap)
+            if n <= size:
+                assert got == [(0, n)]
+                continue
+            assert sum(off(b - a) for a, b in got) + sum(b not in cuts for _, b in got[:-1]) == pytest.approx(to_end[0])
+            assert got[0][0] == 0 and got[-1][1] == n and all(y[0] == x[1] - overlap for x, y in zip(got, got[1:]))
+            assert all(least < b - a for a, b in got[:-1]) and all(b - a <= size for a, b in got)
+    df = spark.createDataFrame([(1, "A" * 6100)], "id long, s string")
+    assert rows(split_sequences(df, "id", "s", objective="balanced")) == [(1, 0, 3075), (1, 3025, 6100)]
+
+
 def test_sites_lie_whole_in_a_piece(spark):
     df = spark.createDataFrame([(1, "A" * 300), (2, "A" * 10), (3, None)], "id long, s string")
     sites = spark.createDataFrame([(i, 1, i * 3, 5) for i in range(98)] + [(900, 2, 5, 5), (901, 2, 6, 5), (902, 3, 0, 5), (903, None, 0, 5), (904, 1, None, 5)], "site long, id long, pos long, n int")
