@@ -13,7 +13,7 @@ import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -129,8 +129,9 @@ def consistent_texts(df: DataFrame, key: str, text: str) -> DataFrame:
 def look_alike_pairs(df: DataFrame, key: str, text: str, per_task: int = 20_000) -> DataFrame:
     """Columns a, b (a < b): keys of rows whose texts differ but have one form.
 
-    Null and empty texts take no part. Only forms with several different texts are joined, and a
-    form's rows are spread over as many salts as its size needs. An empty table gives no rows.
+    Null and empty texts take no part. Only forms with several different texts are joined, the
+    texts first and then the rows of two different texts; both are spread over as many salts as
+    their number needs. An empty table gives no rows.
     """
     rows = df.select(F.col(key).alias("key"), F.col(text).cast("string").alias("value")).where("value is not null and value <> ''")
     out = T.StructType([rows.schema["key"], T.StructField("form", T.BinaryType()), T.StructField("as_is", T.BinaryType())])
@@ -146,10 +147,24 @@ def look_alike_pairs(df: DataFrame, key: str, text: str, per_task: int = 20_000)
             yield pa.RecordBatch.from_arrays([batch.column(0), digest(map(apply, texts)), digest(texts)], schema=schema)
 
     marked = Scratch(df.sparkSession, "lookalikes").written(rows.mapInArrow(run, out))
+    return met_rows(marked, per_task).where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+
+
+def met_rows(marked: DataFrame, per_task: int) -> DataFrame:
+    """Columns x, y: keys of the rows (key, form, as_is) of two different texts with one form, each pair of rows once."""
     kinds = marked.groupBy("form", "as_is").agg(F.count(F.lit(1)).alias("n"))
-    several = kinds.groupBy("form").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).where("kinds > 1")
-    several = several.select("form", F.ceil(F.col("n") / per_task).cast("int").alias("salts"))
-    members = marked.join(several, "form")
-    left = members.select("form", F.col("key").alias("a"), F.col("as_is").alias("text_a"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"))
-    right = members.select("form", F.col("key").alias("b"), F.col("as_is").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return left.join(right, ["form", "salt"]).where("a < b and text_a <> text_b").select("a", "b")
+    several = kinds.groupBy("form").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = several.select("form", F.ceil(F.col("kinds") / per_task).cast("int").alias("parts"))
+    kinds = Scratch(marked.sparkSession, "lookalikes").written(kinds.join(several, "form").withColumn("salts", F.ceil(F.col("n") / per_task).cast("int")))
+
+    def salts(name: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+
+    # Of two texts the one with more rows has them dealt to its salts; the other's are copied to each.
+    more = kinds.select("form", F.col("as_is").alias("text_x"), F.col("n").alias("n_x"), "salts", F.pmod(F.xxhash64("as_is"), F.col("parts")).cast("int").alias("part"))
+    less = kinds.select("form", F.col("as_is").alias("text_y"), F.col("n").alias("n_y"), salts("parts").alias("part"))
+    pairs = more.join(less, ["form", "part"]).where("n_x > n_y or n_x = n_y and text_x > text_y").select("text_x", "text_y", salts("salts").alias("salt"))
+    copied = pairs.join(marked.select(F.col("as_is").alias("text_y"), F.col("key").alias("y")), "text_y").select("text_x", "salt", "y")
+    members = marked.join(kinds.select("as_is", "salts"), "as_is")
+    dealt = members.select(F.col("as_is").alias("text_x"), F.pmod(F.xxhash64("key"), F.col("salts")).cast("int").alias("salt"), F.col("key").alias("x"))
+    return dealt.join(copied, ["text_x", "salt"]).select("x", "y")

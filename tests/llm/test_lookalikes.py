@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from guideloom.llm.lookalikes import cluster_form, compiled_mapping, consistent_texts, look_alike_letters, look_alike_pairs, transducer
+from guideloom.llm.lookalikes import cluster_form, compiled_mapping, consistent_texts, look_alike_letters, look_alike_pairs, met_rows, transducer
 from tests.conftest import rows
 
 FORM = transducer(compiled_mapping())
@@ -46,3 +46,16 @@ def test_pairs_equal_brute_force_with_a_hot_group(spark):
     want = [(a, b) for a, x in data for b, y in data if a < b and x and y and x != y and FORM(x) == FORM(y)]
     assert rows(look_alike_pairs(df, "id", "text", per_task=50)) == sorted(want, key=str)
     assert rows(look_alike_pairs(df.where("false"), "id", "text")) == []
+
+
+def test_rows_of_one_text_do_not_meet(spark):
+    data = [(i, b"f", b"hot") for i in range(900)] + [(1000, b"f", b"a"), (1001, b"f", b"z"), (1002, b"g", b"alone"), (1003, b"g", b"alone")]
+    data += [(2000 + i, b"h", str(i).encode()) for i in range(60)]
+    got = rows(met_rows(spark.createDataFrame(data, "key long, form binary, as_is binary"), per_task=50))
+    want = [(a, b) for a, f, x in data for b, g, y in data if a < b and f == g and x != y]
+    assert len(got) == len(want) and {(min(p), max(p)) for p in got} == set(want)
+
+
+def test_equal_and_missing_keys_make_no_pair(spark):
+    df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "a　b")], "id long, text string")
+    assert rows(look_alike_pairs(df, "id", "text")) == [(1, 2), (1, 2)]
