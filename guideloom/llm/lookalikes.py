@@ -2,8 +2,8 @@
 
 Method: a compiled longest-match transducer over grapheme clusters. A mapping for widths, accents,
 spaces and look-alike letters is computed once from the Unicode database and a short list of
-letters, checked for conflicts, and applied in one pass: the longest cluster (a base and all marks
-and widthless characters after it) that begins at a place is replaced by its form.
+letters, checked for conflicts, and applied in one pass: the longest cluster (a base, or a Hangul
+syllable and letters that may join it, and all marks and widthless characters after it) that begins at a place is replaced by its form.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ GREEK = ("ΑΒϹΕΗΙΚΜΝΟΡΤΧΥΖαϲιϳνορυ", "ABCEHIKMNOPTXYZacijv
 # Code points without width, as ranges.
 WIDTHLESS = ((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF), (0xE0001, 0xE007F), (0xE0100, 0xE01EF))
 HALF_WIDTH_MARKS = "ﾞﾟ"
-JAMO = "ᄀ-ᇿꥠ-ꥼힰ-ퟻ"
+# Hangul letters that may join into syllables, in half width too, and the syllables.
+JAMO = "ᄀ-ᇿꥠ-ꥼힰ-ퟻ\uffa0-\uffdc"
+SYLLABLES = "\uac00-\ud7a3"
 KEPT_CLUSTERS = 100_000
 
 
@@ -78,7 +80,7 @@ def transducer(table: dict[int, str]) -> Callable[[str], str]:
     letters = look_alike_letters()
     widthless = "".join(f"{chr(a)}-{chr(b)}" for a, b in WIDTHLESS)
     follows = rf"\p{{M}}{widthless}{HALF_WIDTH_MARKS}"
-    longest = regex.compile(rf"[{JAMO}]+[{follows}]*|[^{follows}]?[{follows}]+|[^\x00-\x7f]", regex.DOTALL)
+    longest = regex.compile(rf"(?:[{SYLLABLES}][{follows}]*)?[{JAMO}][{JAMO}{follows}]*|[^{follows}]?[{follows}]+|[^\x00-\x7f]", regex.DOTALL)
     forms: dict[str, str] = {chr(n): form for n, form in table.items()}
     singles = len(forms)
 

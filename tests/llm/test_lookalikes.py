@@ -1,3 +1,4 @@
+import itertools
 import unicodedata
 
 from hypothesis import given, settings
@@ -59,3 +60,12 @@ def test_rows_of_one_text_do_not_meet(spark):
 def test_equal_and_missing_keys_make_no_pair(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "a b"), (2, "a　b")], "id long, text string")
     assert rows(look_alike_pairs(df, "id", "text")) == [(1, 2), (1, 2)]
+
+
+def test_partly_decomposed_hangul():
+    assert FORM("각") == FORM("각") == FORM("각") == "각"
+    assert FORM("가​ᆨ") == FORM("ᄀ​ᅡᆨ") == FORM("ﾡￂᆨ") == "각"
+    assert FORM("각ᆨ") == "각ᆨ" and FORM("가각") == "가각"
+    for parts in itertools.product("가각각ﾡￂ​́a", repeat=4):
+        text = "".join(parts)
+        assert FORM(FORM(text)) == FORM(text) == FORM(unicodedata.normalize("NFD", text)) == FORM(unicodedata.normalize("NFC", text))
