@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,34 +58,64 @@ class OffTargetSession:
 
     def raw(self, queries: DataFrame, contigs: DataFrame) -> DataFrame:
         """Raw hits of query sequences in a genome."""
-        p = self.params
+        return self._hits(*self._sites(queries, contigs))
+
+    def _sites(self, queries: DataFrame, contigs: DataFrame) -> tuple[DataFrame, DataFrame]:
         scratch = Scratch(self.spark, "sites")  # both are read several times
-        sides = (scratch.written(x.select("name", "seq")) for x in (self.query_sites(queries), self.target_sites(contigs)))
-        hits = search(*sides, p.spacer_length, p.max_mismatch, p.max_indel)
-        return raw_hits(hits)
+        return scratch.written(self.query_sites(queries).select("name", "seq")), scratch.written(self.target_sites(contigs).select("name", "seq"))
+
+    def _hits(self, query_sites: DataFrame, target_sites: DataFrame) -> DataFrame:
+        p = self.params
+        return raw_hits(search(query_sites, target_sites, p.spacer_length, p.max_mismatch, p.max_indel))
 
     def scored(self, queries: DataFrame, contigs: DataFrame) -> DataFrame:
         """Scored hits of query sequences in a genome."""
         return scored_hits(self.raw(queries, contigs), genome(contigs), self.params)
 
     def run(self, queries: DataFrame, contigs: DataFrame, raw: bool = False, html: str | None = None) -> DataFrame:
-        """Raw or scored hits and, for scored ones, the report; under a tag, so that cancel() stops its jobs."""
+        """Raw or scored hits and, for scored ones, the report; under a tag, so that cancel() stops its jobs.
+
+        With ``progress`` each stage is written before the next begins, so that its events say when it ran.
+        """
         if raw and html:
             raise ValueError("a report needs scores: choose raw or html")
         self.tag = f"search-{uuid.uuid4().hex[:8]}"
         self.spark.addTag(self.tag)
         try:
+            if self.progress:
+                return self._told(self.progress, queries, contigs, raw, html)
             hits = self.raw(queries, contigs) if raw else self.scored(queries, contigs)
             if html:
-                if self.progress:
-                    with self.progress.step("report", "Write the report"):
-                        write_report(hits, html)
-                else:
-                    write_report(hits, html)
+                write_report(hits, html)
             return hits
         finally:
             self.spark.removeTag(self.tag)
 
+    def _told(self, progress: Progress, queries: DataFrame, contigs: DataFrame, raw: bool, html: str | None) -> DataFrame:
+        """run() stage by stage, with its events."""
+        began, done, stages = time.monotonic(), 0, 2 + (not raw) + bool(html)
+        scratch = Scratch(self.spark, "stages")
+
+        def stage(ident: str, title: str, work: Callable):
+            nonlocal done
+            with progress.step(ident, title):
+                result = work()
+            done += 1
+            progress.event("progress", id=ident, done=done, total=stages, unit="stages", percent=done * 100 // stages)
+            return result
+
+        n, total, longest = self._sizes(contigs)
+        mib = memory_estimate_mib(total, longest)
+        progress.event("memory_estimate", chromosomes=n, total_genome_mbp=total, longest_chromosome_mbp=longest, peak_mib=mib, peak_gib=mib / 1024, model="standard")
+        sites = stage("extract", "Extract the sites", lambda: self._sites(queries, contigs))
+        hits = stage("search", "Search the sites", lambda: scratch.written(self._hits(*sites)))
+        if not raw:
+            hits = stage("score", "Score the hits", lambda found=hits: scratch.written(scored_hits(found, genome(contigs), self.params)))
+        if html:
+            stage("report", "Write the report", lambda: write_report(hits, html))
+        progress.event("complete", total_seconds=round(time.monotonic() - began, 3), **({"html": html} if html else {}))
+        return hits
+
     def cancel(self) -> None:
         self.spark.interruptTag(self.tag)
 
@@ -92,5 +124,9 @@ class OffTargetSession:
 
     def memory_estimate(self, contigs: DataFrame, cut: bool = False) -> float:
         """The tool's own model of its memory for this genome, in MiB (not Spark's)."""
-        sizes = genome(contigs).agg(F.coalesce(F.sum("len"), F.lit(0)).alias("total"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()
-        return memory_estimate_mib(sizes["total"] / 1e6, sizes["longest"] / 1e6, cut)
+        return memory_estimate_mib(*self._sizes(contigs)[1:], cut)
+
+    def _sizes(self, contigs: DataFrame) -> tuple[int, float, float]:
+        """Number of contigs, and millions of bases of all and of the longest."""
+        sizes = genome(contigs).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()
+        return sizes["n"], sizes["total"] / 1e6, sizes["longest"] / 1e6

@@ -161,3 +161,19 @@ def test_search_from_a_gene_of_a_file(spark, tmp_path):
     assert of("x.gff", "gene:G2", "cds") == [("transcript:A", "ACGTTATGCA")] and of("x.gff", "G3", "mrna") == [("G3-mRNA1", "ACGT")]
     with pytest.raises(ValueError):
         of("x.gff", "G2", "mrna")
+
+
+def test_run_tells_of_all_its_stages(spark, tmp_path):
+    query = spark.createDataFrame([(0, "QUERY", "TTCTCGAGCGTCGCGTGGAGTCCGG")], "chrom_idx long, chrom_name string, chrom_sequence string")
+    contigs = spark.createDataFrame([(0, "c1", "GATTACATTCTCGAGCGTCGCGTGGAGTCCGGACG")], query.schema)
+    said = []
+    session = OffTargetSession(spark, SearchParams(), Progress(said.append, as_json=True))
+    told = session.run(query, contigs, html=str(tmp_path / "page"))
+    events = [json.loads(x) for x in said]
+    steps = [(e, s) for s in ("extract", "search", "score", "report") for e in ("step_start", "step_done", "progress")]
+    assert [(e["event"], e.get("id")) for e in events] == [("memory_estimate", None), *steps, ("complete", None)]
+    assert events[0]["chromosomes"] == 1 and events[0]["peak_mib"] == pytest.approx(session.memory_estimate(contigs)) and events[-2]["percent"] == 100
+    assert rows(told) == rows(OffTargetSession(spark).run(query, contigs)) != []
+    said.clear()
+    session.run(query, contigs, raw=True)
+    assert [json.loads(x)["event"] for x in said] == ["memory_estimate", *["step_start", "step_done", "progress"] * 2, "complete"]
