@@ -16,7 +16,7 @@ from guideloom.operators.hits import ordered_summary, query_summary, raw_hits
 from guideloom.operators.report import Progress, write_report
 from guideloom.operators.scored import scored_hits
 from guideloom.operators.search import indel_pairs, mismatch_pairs, search, with_sites
-from guideloom.params import SearchParams, memory_estimate_mib
+from guideloom.params import SearchParams
 from guideloom.plans.scratch import Scratch
 from guideloom.sources.files import read_fasta
 
@@ -105,8 +105,7 @@ class OffTargetSession:
             return result
 
         n, total, longest = self._sizes(contigs)
-        mib = memory_estimate_mib(total, longest)
-        progress.event("memory_estimate", chromosomes=n, total_genome_mbp=total, longest_chromosome_mbp=longest, peak_mib=mib, peak_gib=mib / 1024, model="standard")
+        progress.event("genome", chromosomes=n, total_genome_mbp=total, longest_chromosome_mbp=longest)
         sites = stage("extract", "Extract the sites", lambda: self._sites(queries, contigs))
         hits = stage("search", "Search the sites", lambda: scratch.written(self._hits(*sites)))
         if not raw:
@@ -122,10 +121,6 @@ class OffTargetSession:
     def summary(self, scored: DataFrame) -> DataFrame:
         return ordered_summary(query_summary(scored))
 
-    def memory_estimate(self, contigs: DataFrame, cut: bool = False) -> float:
-        """The tool's own model of its memory for this genome, in MiB (not Spark's)."""
-        return memory_estimate_mib(*self._sizes(contigs)[1:], cut)
-
     def _sizes(self, contigs: DataFrame) -> tuple[int, float, float]:
         """Number of contigs, and millions of bases of all and of the longest."""
         sizes = genome(contigs).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"), F.coalesce(F.max("len"), F.lit(0)).alias("longest")).first()

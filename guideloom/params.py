@@ -35,18 +35,3 @@ class SearchParams:
     def upstream(self) -> bool:
         return self.direction == "up"
 
-
-def query_batch(n_queries: int, cut: bool = False) -> int:
-    """How many queries are searched at once for a number of queries; affects only speed."""
-    # Upper bounds and batch sizes.
-    for bound, batch, batch_cut in ((128, n_queries, n_queries), (2048, 256, 256), (8192, 128, 256), (32768, 128, 128)):
-        if n_queries <= bound:
-            return batch_cut if cut else batch
-    return 64
-
-
-def memory_estimate_mib(total_mbp: float, longest_mbp: float, cut: bool = False) -> float:
-    """The tool's model of its peak memory, from the genome's size and its longest contig in millions of bases."""
-    # Intercept, weight of the total, weight of the longest contig.
-    base, total, longest = (19.676, 0.123, 9.268) if cut else (19.320, 8.640, -0.132)
-    return base + total * total_mbp + longest * longest_mbp

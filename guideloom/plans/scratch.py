@@ -1,8 +1,10 @@
 """Intermediate tables in the folder that all executors share.
 
 Iterative operators cut their lineage by writing a table and reading it back. The folder is the
-one the cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop) a
-local temporary folder is made. A written table survives the loss of executors.
+one the cluster names in ``spark.checkpoint.dir``; only where that is unset and the master is a
+local one (tests, a laptop) a temporary folder is made. A written table survives the loss of
+executors. Tables last until the process ends; ``released`` removes those of a finished result
+before.
 """
 
 from __future__ import annotations
@@ -11,17 +13,25 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own_root: list[str] = []
+_open_scopes: ContextVar[tuple[list[Scratch], ...]] = ContextVar("guideloom_scopes", default=())
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder, or a local one if the session names none."""
+    """The session's shared folder, or a temporary one if a local session names none; elsewhere an error."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.split("[")[0] != "local":
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     if not _own_root:
         _own_root.append(tempfile.mkdtemp(prefix="guideloom-"))
     return "file://" + _own_root[0]
@@ -45,6 +55,8 @@ class Scratch:
             Scratch._roots[root] = spark
         self.base = f"{root}/{tag}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        for scope in _open_scopes.get():
+            scope.append(self)
 
     def written(self, df: DataFrame) -> DataFrame:
         """df as a table on shared storage, read back without its lineage."""
@@ -55,6 +67,12 @@ class Scratch:
         back._guideloom_path = path
         return back
 
+    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Like written, with the number of rows, which the tasks that write count as they go."""
+        seen = Observation()
+        back = self.written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return back, seen.get["n"]
+
     def drop(self, *tables: DataFrame | None) -> None:
         """Delete written tables; plans built on them must have run."""
         for table in tables:
@@ -62,6 +80,23 @@ class Scratch:
             if path:
                 _delete(self.spark, path)
 
+    def release(self) -> None:
+        """Delete all tables of this run; results that were not written or counted yet are lost."""
+        _delete(self.spark, self.base)
+
+
+@contextmanager
+def released() -> Iterator[None]:
+    """Tables written by operators inside are deleted at the end: consume their results before."""
+    mine: list[Scratch] = []
+    token = _open_scopes.set((*_open_scopes.get(), mine))
+    try:
+        yield
+    finally:
+        _open_scopes.reset(token)
+        for scratch in mine:
+            scratch.release()
+
 
 @atexit.register
 def _clean_up() -> None:

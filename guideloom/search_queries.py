@@ -13,7 +13,7 @@ from guideloom.operators.extraction import extract_sites, genome, slices
 from guideloom.operators.report import report_lines
 from guideloom.operators.scored import padded_targets, scored_hits
 from guideloom.operators.search import indel_pairs, mismatch_pairs, search, with_sites
-from guideloom.params import SearchParams, memory_estimate_mib
+from guideloom.params import SearchParams
 from guideloom.pipeline_queries import RECORD_LINES
 from guideloom.plans.scratch import Scratch
 from guideloom.sources.annotation_lines import loaded, parse_annotation_lines
@@ -34,13 +34,6 @@ def contig_stats(spark: SparkSession, d: str) -> DataFrame:
     return _genome(spark, d).agg(F.count(F.lit(1)).alias("n_contigs"), F.sum("len").alias("total_bases"), F.max("len").alias("longest"))
 
 
-def memory_estimate(spark: SparkSession, d: str) -> DataFrame:
-    """The tool's memory model for this genome, in MiB, for both modes."""
-    stats = contig_stats(spark, d)
-    columns = [F.col("total_bases") / 1e6, F.col("longest") / 1e6]
-    return stats.select(F.round(memory_estimate_mib(*columns), 6).alias("standard_mib"), F.round(memory_estimate_mib(*columns, cut=True), 6).alias("cut_mib"))
-
-
 def sites_single_pam(spark: SparkSession, d: str) -> DataFrame:
     return extract_sites(_genome(spark, d), PARAMS, both_pams=False, dust=False).select(*SITE_COLUMNS)
 
@@ -223,7 +216,7 @@ def _annotation(seq_type: str) -> Query:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        contig_stats, memory_estimate, sites_single_pam, sites_dual_pam, sites_down, sites_unequal_pams, dust_filter, site_sequences, site_codes, code_uniqueness, reverse_complement, hit_regions,
+        contig_stats, sites_single_pam, sites_dual_pam, sites_down, sites_unequal_pams, dust_filter, site_sequences, site_codes, code_uniqueness, reverse_complement, hit_regions,
         hit_distances, event_distance, mismatch_join, indel_join, genome_search, combine_priority, raw_hits, raw_file, hit_file, scored_file, report_page, padded, scored_genome_hits, score_texts, query_summary,
         count_filter, over_represented, on_target_filter, line_attributes, transcript_segments,
     )
@@ -314,8 +307,6 @@ ii AS (SELECT query_name, query_seq, target_name, target_seq, CAST(distance AS I
 
 SQL = {
     "contig_stats": f"WITH {_G} SELECT count(*) AS n_contigs, CAST(sum(len) AS BIGINT) AS total_bases, max(len) AS longest FROM g",
-    "memory_estimate": f"""WITH {_G}, x AS (SELECT sum(len) / 1e6 AS t, max(len) / 1e6 AS m FROM g)
-SELECT round(19.320 + 8.640 * t - 0.132 * m, 6) AS standard_mib, round(19.676 + 0.123 * t + 9.268 * m, 6) AS cut_mib FROM x""",
     "sites_single_pam": _sites_sql([(3, ".GG", "CC.")]) + f"SELECT {_SITE} FROM s",
     "sites_dual_pam": _sites_sql([_NGG_NAG]) + f"SELECT {_SITE}, name FROM s",
     "sites_down": _sites_sql([_NGG_NAG], up=False) + f"SELECT {_SITE} FROM s",
