@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _own_root: list[str] = []
@@ -67,10 +67,10 @@ class Scratch:
         back._guideloom_path = path
         return back
 
-    def counted(self, df: DataFrame) -> tuple[DataFrame, int]:
-        """Like written, with the number of rows, which the tasks that write count as they go."""
+    def counted(self, df: DataFrame, where: Column | None = None) -> tuple[DataFrame, int]:
+        """Like written, with the number of rows (those that meet ``where``), which the tasks that write count as they go."""
         seen = Observation()
-        back = self.written(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        back = self.written(df.observe(seen, (F.count(F.lit(1)) if where is None else F.count_if(where)).alias("n")))
         return back, seen.get["n"]
 
     def drop(self, *tables: DataFrame | None) -> None:

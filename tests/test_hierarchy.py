@@ -47,12 +47,16 @@ def test_random_forest_with_chains_cycles_and_hot_parent(spark):
     links |= {f"h{i}": "n5" for i in range(200)}
     links |= {"x": "y", "y": "z", "z": "x", "w": "x", "v": "w", "self": "self", "under": "self"}
     check(spark, links)
+    check(spark, links, block_bits=2)
 
 
-def test_no_peeling_and_full_peeling_agree(spark):
-    links = {f"c{i}": f"c{i // 2}" for i in range(1, 40)} | {"c0": None, "p": "q", "q": "p"}
-    check(spark, links, max_peel=0)
-    check(spark, links, max_peel=50)
+def test_blocks_of_any_size_agree(spark):
+    rng = random.Random(8)
+    names = [f"{rng.randrange(10**9)}" for _ in range(90)]  # ids that tell nothing of the parents
+    links = {x: names[max(0, i - 1 - rng.randrange(3))] if i % 30 else None for i, x in enumerate(names)}
+    links |= {"p": "q", "q": "p", "r": "q", names[7]: names[9], names[9]: names[7]}
+    for bits in (0, 3):
+        check(spark, links, block_bits=bits)
 
 
 def test_pairs_latest_row_and_empty(spark):
