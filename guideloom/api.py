@@ -6,6 +6,7 @@ import time
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +16,30 @@ from guideloom.operators.extraction import extract_sites, genome
 from guideloom.operators.hits import ordered_summary, query_summary, raw_hits
 from guideloom.operators.report import Progress, write_report
 from guideloom.operators.scored import scored_hits
-from guideloom.operators.search import indel_pairs, mismatch_pairs, search, with_sites
-from guideloom.params import SearchParams
+from guideloom.operators.search import indel_hits, mismatch_hits, search
+from guideloom.params import LONGEST_SPACER, SearchParams
 from guideloom.plans.scratch import Scratch
 from guideloom.sources.files import read_fasta
 
 
-def search_files(spark: SparkSession, queries: str, targets: str, length: int, limit: int, indels: bool = False) -> DataFrame:
-    """Hits between the sequences of two FASTA files, taken as sites: by mismatches, or by indels."""
+def search_files(spark: SparkSession, queries: str, targets: str, length: int | None = None, limit: int = 4, indels: bool = False) -> DataFrame:
+    """Hits between the sequences of two FASTA files, taken as sites: by mismatches, or by indels.
+
+    Sequences of one length are compared with each other: of ``length`` or, without it, of every
+    length that the queries have. Then none may be longer than LONGEST_SPACER, and for indels none
+    as short as twice the limit; others would have no hits without a word and raise an error.
+    """
     q, t = (read_fasta(spark, path).select(F.col("chrom_name").alias("name"), F.col("chrom_sequence").alias("seq")) for path in (queries, targets))
-    if indels:
-        return with_sites(indel_pairs(q, t, length, limit), q, t, F.lit("Indel"))
-    return with_sites(mismatch_pairs(q, t, length, limit), q, t, F.when(F.col("distance") == 0, "Exact").otherwise("Mismatch"))
+    hits_of = indel_hits if indels else mismatch_hits
+    if length is not None:
+        return hits_of(q, t, length, limit)
+    least = 2 * limit + 1 if indels else 1
+    wrong = q.where(~F.length("seq").between(least, LONGEST_SPACER)).limit(1).count()
+    if wrong:
+        raise ValueError(f"query sequences must have {least}..{LONGEST_SPACER} bases")
+    found = [r[0] for r in q.select(F.length("seq")).distinct().collect()]  # at most LONGEST_SPACER numbers
+    parts = [hits_of(q, t, n, limit) for n in sorted(found)] or [hits_of(q, t, least, limit)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass

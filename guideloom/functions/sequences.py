@@ -122,6 +122,14 @@ NAME_PATTERN = r"^(.*):(\d+)-(\d+):([+-])$"
 
 
 def parsed_name(name: Column) -> list[Column]:
-    """chrom, start, end (from 1) and is_reverse of a site name, read from the right; null where it is none."""
-    part = lambda k: F.nullif(F.regexp_extract(name, NAME_PATTERN, k), F.lit(""))
-    return [part(1).alias("chrom"), part(2).cast("long").alias("start_1based"), part(3).cast("long").alias("end_1based"), (part(4) == "-").alias("is_reverse")]
+    """chrom, start, end (from 1) and is_reverse of a site name, read from the right; null where it is none, and for numbers over 64 bits.
+
+    One pass splits the name; bind the columns before filters use them, see ``bound``.
+    """
+    parts = F.when(name.rlike(NAME_PATTERN), F.split(F.regexp_replace(name, NAME_PATTERN, "$2\u0001$3\u0001$4\u0001$1"), "\u0001", 4))
+    return [F.nullif(parts[3], F.lit("")).alias("chrom"), parts[0].try_cast("long").alias("start_1based"), parts[1].try_cast("long").alias("end_1based"), (parts[2] == "-").alias("is_reverse")]
+
+
+def bound(*columns: Column) -> Column:
+    """The columns as a generator of one row: filters on them stay above, so that each is computed once."""
+    return F.inline(F.array(F.struct(*columns)))

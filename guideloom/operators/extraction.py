@@ -8,6 +8,9 @@ but the tiles themselves.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,8 +42,8 @@ def tiles(contigs: DataFrame, halo: int, tile: int = TILE, spread: bool = True)
     )
     if not spread:
         return cut
-    # A given number of partitions is kept; the tiles are small but the work on each base is not.
-    return cut.repartition(int(contigs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "chrom_idx", "tile_no")
+    # Partitions are cut and joined by size, so their number grows with the genome.
+    return cut.hint("rebalance", "chrom_idx", "tile_no")
 
 
 def _pattern(pam: str, iupac: bool) -> str:
@@ -55,9 +58,29 @@ def _reverse_pattern(pam: str, iupac: bool) -> str:
     return "".join(f"[{IUPAC[IUPAC_PAIRED[c]]}]" if c in IUPAC else pam_regex(reverse_complement_pam(c)) for c in reversed(pam.upper()))
 
 
-def _matches(window: Column, pams: list[str], iupac: bool, reverse: bool) -> Column:
-    make = _reverse_pattern if reverse else _pattern
-    return window.rlike("^(?:" + "|".join(make(p, iupac) for p in pams) + ")$")
+def _matches(slice_at: Callable[[Column, int], Column], pams: list[str], iupac: bool, reverse: bool) -> Column:
+    """Whether one of the patterns, all of one length, stands at ``at``: literal bases are compared as bytes, codes of several bases by expression."""
+    at, size = F.col("at"), len(pams[0])
+    if iupac and any(c in IUPAC for pam in pams for c in pam.upper()):
+        make = _reverse_pattern if reverse else _pattern
+        return slice_at(at, size).cast("string").rlike("^(?:" + "|".join(make(p, iupac) for p in pams) + ")$")
+    by_place: dict[tuple[tuple[int, int], ...], list[list[bytes]]] = {}
+    for pam in pams:
+        text = reverse_complement_pam(pam) if reverse else pam.upper()
+        runs = [m.span() for m in re.finditer("[^N]+", text)]
+        by_place.setdefault(tuple(runs), []).append([text[a:b].encode() for a, b in runs])
+    hit = F.lit(False)
+    for runs, texts in by_place.items():
+        if len(runs) == 1:
+            (a, b), = runs
+            hit |= slice_at(at + a, b - a).isin(*(t[0] for t in texts))
+        else:
+            for text in texts:
+                same = F.lit(True)
+                for (a, b), part in zip(runs, text, strict=True):
+                    same &= slice_at(at + a, b - a) == F.lit(part)
+                hit |= same
+    return hit
 
 
 def _sites_of_length(tiled: DataFrame, pams: list[str], params: SearchParams, tile: int) -> DataFrame:
@@ -68,18 +91,17 @@ def _sites_of_length(tiled: DataFrame, pams: list[str], params: SearchParams, ti
     )
 
     def slice_at(position: Column, n: int) -> Column:
-        return F.substring("bytes", (position - F.col("origin") + 1).cast("int"), F.lit(n)).cast("string")
+        return F.substring("bytes", (position - F.col("origin") + 1).cast("int"), F.lit(n))
 
+    plus, minus = (_matches(slice_at, pams, params.iupac, reverse) for reverse in (False, True))
     before, after = F.col("at") - length, F.col("at") + size
-    sides = []
-    for reverse in (False, True):
-        start0 = before if params.upstream != reverse else after
-        sides.append(F.struct(F.lit(reverse).alias("is_reverse"), start0.alias("start0"), _matches(slice_at(F.col("at"), size), pams, params.iupac, reverse).alias("hit")))
-    found = places.select("chrom_idx", "chrom", "len", "origin", "bytes", F.inline(F.array(*sides))).where(
-        F.col("hit") & (F.col("start0") >= 0) & (F.col("start0") + length <= F.col("len"))
-    )
+    left, right = (before, after) if params.upstream else (after, before)
+    # Most places match on no strand and go no further.
+    hits = places.withColumns({"plus": plus, "minus": minus}).where("plus or minus")
+    sides = F.array(F.struct(F.lit(False).alias("is_reverse"), left.alias("start0"), F.col("plus").alias("hit")), F.struct(F.lit(True).alias("is_reverse"), right.alias("start0"), F.col("minus").alias("hit")))
+    found = hits.select("chrom_idx", "chrom", "len", "origin", "bytes", F.inline(sides)).where(F.col("hit") & (F.col("start0") >= 0) & (F.col("start0") + length <= F.col("len")))
     # The generators bind each sequence once: filters on it can't move below them, where rows still hold their tile.
-    bound = found.select("chrom_idx", "chrom", "start0", "is_reverse", F.inline(F.array(F.struct(slice_at(F.col("start0"), length).alias("forward")))))
+    bound = found.select("chrom_idx", "chrom", "start0", "is_reverse", F.inline(F.array(F.struct(slice_at(F.col("start0"), length).cast("string").alias("forward")))))
     oriented = F.when(F.col("is_reverse"), reverse_complement(F.col("forward"))).otherwise(F.col("forward"))
     return bound.select("chrom_idx", "chrom", "start0", F.lit(length).alias("length"), "is_reverse", F.inline(F.array(F.struct(oriented.alias("seq")))))
 
@@ -112,11 +134,11 @@ def slices(wanted: DataFrame, contigs: DataFrame, tile: int = TILE) -> DataFrame
     shorter than ``need``, and an unknown one, give no row; bases beyond its end are left out.
     Items must be unique.
     """
-    last = contigs.groupBy("chrom").agg(F.max("chrom_idx").alias("chrom_idx"))
-    parts = tiles(contigs.join(last, ["chrom", "chrom_idx"], "left_semi"), 0, tile, spread=False)
-    parts = parts.select(F.col("chrom").alias("t_chrom"), "tile_no", "origin", "bytes", "len")
-    looks = wanted.where("0 <= lo and lo < hi").select("item", "chrom", "lo", "hi", "need", F.explode(F.sequence(F.expr(f"int(lo div {tile})"), F.expr(f"int((hi - 1) div {tile})"))).alias("look"))
-    met = looks.join(parts, (F.col("chrom") == F.col("t_chrom")) & (F.col("look") == F.col("tile_no"))).where("need <= len")
+    last = contigs.groupBy(F.col("chrom").alias("l_chrom")).agg(F.max("chrom_idx").alias("look_idx"))  # names and numbers only
+    parts = tiles(contigs, 0, tile, spread=False).select("chrom_idx", "tile_no", "origin", "bytes", "len")
+    looks = wanted.where("0 <= lo and lo < hi").join(last, F.col("chrom") == F.col("l_chrom"))
+    looks = looks.select("item", "look_idx", "lo", "hi", "need", F.explode(F.sequence(F.expr(f"int(lo div {tile})"), F.expr(f"int((hi - 1) div {tile})"))).alias("look"))
+    met = looks.join(parts, (F.col("look_idx") == F.col("chrom_idx")) & (F.col("look") == F.col("tile_no"))).where("need <= len")
     first = F.greatest(F.col("lo") - F.col("origin"), F.lit(0))
     part = F.substring("bytes", (first + 1).cast("int"), (F.least(F.col("hi") - F.col("origin"), F.lit(tile)) - first).cast("int")).cast("string")
     # The generator binds the part, so that no row with its tile goes on to the aggregation.

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from guideloom.plans.scratch import Scratch
+
 # The order in which search types win, and the limit of the frequency filters.
 PRIORITY = ("Exact", "Mismatch", "Indel")
 FREQUENCY_LIMIT = 10
@@ -41,7 +43,8 @@ def with_frequency(hits: DataFrame) -> DataFrame:
 
 def raw_hits(hits: DataFrame) -> DataFrame:
     """The seven columns of the raw result: combined hits with their frequency."""
-    return with_frequency(combine_priority(hits)).select(*HIT_COLUMNS, "genomic_frequency")
+    combined = Scratch(hits.sparkSession, "hits").written(combine_priority(hits))  # read to count and to join
+    return with_frequency(combined).select(*HIT_COLUMNS, "genomic_frequency")
 
 
 def query_summary(scored: DataFrame) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from guideloom.functions.scoring import best_alignment_udf, details_json
-from guideloom.functions.sequences import parsed_name, reverse_complement
+from guideloom.functions.sequences import bound, parsed_name, reverse_complement
 from guideloom.operators.extraction import slices
 from guideloom.params import SearchParams
+from guideloom.plans.scratch import Scratch
 
 
 def padded_targets(names: DataFrame, contigs: DataFrame, params: SearchParams) -> DataFrame:
@@ -17,7 +18,7 @@ def padded_targets(names: DataFrame, contigs: DataFrame, params: SearchParams) -
     Padding ends at the contig's end. Names that cannot be read, unknown contigs and sites that
     leave their contig give no row.
     """
-    sites = names.select("target_name").where("target_name is not null").distinct().select("target_name", *parsed_name(F.col("target_name")))
+    sites = names.select("target_name").where("target_name is not null").distinct().select("target_name", bound(*parsed_name(F.col("target_name"))))
     lo, hi = F.col("start_1based") - 1, F.col("end_1based")
     left_is_far = ~F.col("is_reverse") if params.upstream else F.col("is_reverse")
     wanted = sites.where("start_1based >= 1 and start_1based <= end_1based").select(
@@ -40,9 +41,9 @@ def scored_hits(hits: DataFrame, contigs: DataFrame, params: SearchParams) -> Da
     """
     padded = padded_targets(hits, contigs, params).withColumnRenamed("target_name", "p_name")
     rows = hits.where("query_seq is not null").withColumn("query_seq", F.upper("query_seq")).join(padded, F.col("target_name") == F.col("p_name")).drop("p_name")
+    rows = Scratch(hits.sparkSession, "scored").written(rows)  # read for the pairs and for the result
     pairs = rows.select(F.col("query_seq").alias("q"), F.col("padded").alias("t")).distinct()
-    best = pairs.withColumn("best", best_alignment_udf(params.max_indel, params.max_mismatch, params.upstream)("q", "t"))
-    best = best.select("q", "t", "best.score", "best.details").where("score is not null")
+    best = pairs.select("q", "t", F.inline(F.array(best_alignment_udf(params.max_indel, params.max_mismatch, params.upstream)("q", "t")))).where("score is not null")
     both = rows.join(best, (F.col("query_seq") == F.col("q")) & (F.col("padded") == F.col("t")))
     events = F.col("details")
     kind = F.when(F.size(events) == 0, "Exact").when(F.exists(events, lambda e: e["op"] != "sub"), "Indel").otherwise("Mismatch")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from guideloom.functions import sequences as S
-from guideloom.functions.scoring import event_distance_udf, score_text_udf
+from guideloom.functions.scoring import event_distance as event_distance_of
+from guideloom.functions.scoring import score_text_udf
 from guideloom.operators import hits as H
 from guideloom.operators.annotation import annotation_sequences, transcript_parts
 from guideloom.operators.extraction import extract_sites, genome, slices
 from guideloom.operators.report import report_lines
 from guideloom.operators.scored import padded_targets, scored_hits
-from guideloom.operators.search import indel_pairs, mismatch_pairs, search, with_sites
+from guideloom.operators.search import indel_hits, mismatch_hits, search
 from guideloom.params import SearchParams
 from guideloom.pipeline_queries import RECORD_LINES
 from guideloom.plans.scratch import Scratch
@@ -104,7 +105,7 @@ def hit_distances(spark: SparkSession, d: str) -> DataFrame:
 def event_distance(spark: SparkSession, d: str) -> DataFrame:
     """Edits of each distinct pair of sequences, with a run of indels counted once."""
     pairs = table(spark, d, "search_hits").select("query_seq", "target_seq").where("query_seq is not null and target_seq is not null").distinct()
-    return pairs.withColumn("events", event_distance_udf(PARAMS.max_mismatch)("query_seq", "target_seq"))
+    return pairs.withColumn("events", event_distance_of(F.col("query_seq"), F.col("target_seq"), PARAMS.max_mismatch))
 
 
 def _search_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -117,14 +118,11 @@ def _search_sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def mismatch_join(spark: SparkSession, d: str) -> DataFrame:
-    queries, targets = _search_sides(spark, d)
-    pairs = mismatch_pairs(queries, targets, PARAMS.spacer_length, PARAMS.max_mismatch)
-    return with_sites(pairs, queries, targets, F.when(F.col("distance") == 0, "Exact").otherwise("Mismatch"))
+    return mismatch_hits(*_search_sides(spark, d), PARAMS.spacer_length, PARAMS.max_mismatch)
 
 
 def indel_join(spark: SparkSession, d: str) -> DataFrame:
-    queries, targets = _search_sides(spark, d)
-    return with_sites(indel_pairs(queries, targets, PARAMS.spacer_length, PARAMS.max_indel), queries, targets, F.lit("Indel"))
+    return indel_hits(*_search_sides(spark, d), PARAMS.spacer_length, PARAMS.max_indel)
 
 
 def genome_search(spark: SparkSession, d: str) -> DataFrame:

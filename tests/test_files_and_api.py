@@ -81,6 +81,12 @@ def test_search_files(spark, tmp_path):
     paths = [str(tmp_path / x) for x in ("q.fa", "t.fa")]
     assert rows(search_files(spark, *paths, 8, 1)) == [("q", "ACGTACGT", "t1", "ACGTACGA", 1, "Mismatch")]
     assert rows(search_files(spark, *paths, 8, 1, indels=True)) == [("q", "ACGTACGT", "t1", "ACGTACGA", 1, "Indel"), ("q", "ACGTACGT", "t2", "CGTACGTA", 1, "Indel")]
+    (tmp_path / "q2.fa").write_text(">q\nACGTACGT\n>r\nACGTACGTA\n")
+    paths = [str(tmp_path / x) for x in ("q2.fa", "t.fa")]
+    assert rows(search_files(spark, *paths, limit=1)) == [("q", "ACGTACGT", "t1", "ACGTACGA", 1, "Mismatch"), ("r", "ACGTACGTA", "long", "ACGTACGTA", 0, "Exact")]
+    (tmp_path / "q2.fa").write_text(">q\n" + "ACGT" * 9)
+    with pytest.raises(ValueError):
+        search_files(spark, *paths, limit=1)
 
 
 def features(spark, strand):

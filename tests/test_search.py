@@ -4,11 +4,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from guideloom.functions import sequences as S
-from guideloom.functions.scoring import alignments, best_alignment, event_distance, score_text
+from guideloom.functions.scoring import best_alignments, event_distance, score_text
 from guideloom.operators import hits as H
 from guideloom.operators.extraction import extract_sites, genome, slices
 from guideloom.operators.scored import padded_targets, scored_hits
-from guideloom.operators.search import indel_pairs, mismatch_pairs
+from guideloom.operators.search import indel_hits, indel_pairs, mismatch_pairs
 from guideloom.params import SearchParams
 from tests.conftest import rows
 
@@ -100,9 +100,13 @@ def test_seed_joins_equal_all_pairs(spark, limit):
     frame = lambda x: spark.createDataFrame([(s, "clash") for s in x], "seq string, key string")
     a = lambda s: s.replace("N", "A")
     want = {(q, t, d) for q in queries for t in targets if (d := sum(x != y for x, y in zip(a(q), a(t)))) <= limit}
-    assert set(rows(mismatch_pairs(frame(queries), frame(targets), 12, limit))) == want
+    shuffled = {"broadcast_bytes": 0, "salts": 3}
+    assert set(rows(mismatch_pairs(frame(queries), frame(targets), 12, limit))) == want == set(rows(mismatch_pairs(frame(queries), frame(targets), 12, limit, **shuffled)))
     want = {(q, t, d) for q in queries for t in targets if (d := anchored(q, t, limit)) is not None}
-    assert set(rows(indel_pairs(frame(queries), frame(targets), 12, limit))) == want
+    assert set(rows(indel_pairs(frame(queries), frame(targets), 12, limit))) == want == set(rows(indel_pairs(frame(queries), frame(targets), 12, limit, **shuffled)))
+    named = lambda x: spark.createDataFrame([(f"{s}{i % 2}", s) for i, s in enumerate([*x, x[0]])], "name string, seq string").withColumn("mark", F.lit("clash"))
+    once, other = (rows(indel_hits(named(queries), named(targets), 12, limit, broadcast_bytes=b)) for b in (1 << 20, 0))
+    assert once == other and {(x[1], x[3], x[4]) for x in once} == want and len(set(once)) == len(once)
 
 
 Q = "CTCGAGCGTCGCGTGGAGTC"
@@ -117,17 +121,121 @@ SCORES = [
 ]
 
 
-def test_golden_scores():
-    for target, paths, score, events in SCORES:
-        assert sum(1 for _ in alignments(Q[::-1], target[::-1], 2, 4)) == paths
-        best = best_alignment(Q, target, 2, 4, upstream=True)
-        assert (score_text(best[0]), best[1]) == (score, events)
-    assert best_alignment(Q, "TTAGTGAGCGTCATGTGGAGTC", 2, 4, upstream=True) is None
-    assert best_alignment(Q, "ATCGAGCGTCGCGTGGAGTCTT", 2, 4, upstream=False) == (0.309, [("sub", 1, "C", "A")])
+def best(query, target, indels, mismatches, upstream):
+    return best_alignments([query], [target], indels, mismatches, upstream).to_pylist()[0]
+
+
+def plain_paths(q, t, indels, mismatches):
+    """Every alignment anchored at the start, in the order of preference: walked base by base."""
+
+    def walk(i, j, subs, gaps, events):
+        if i == len(q):
+            yield events
+            return
+        if j < len(t):
+            same = q[i] == t[j]
+            if same or subs < (indels - gaps if gaps else mismatches):
+                yield from walk(i + 1, j + 1, subs + (not same), gaps, events if same else [*events, ("sub", i + 1, q[i], t[j])])
+        if subs + gaps < indels:
+            yield from walk(i + 1, j, subs, gaps + 1, [*events, ("del", i + 1, q[i], "-")])
+            if j < len(t):
+                yield from walk(i, j + 1, subs, gaps + 1, [*events, ("ins", i + 1, "-", t[j])])
+
+    return list(walk(0, 0, 0, 0, []))
+
 
+def plain_score(events):
+    z, before, n = 1.0, 99, len(events)
+    for op, pos, _, _ in sorted(events):
+        i = abs(pos)
+        w = 0.0014 * i * i + 0.0021 * i + 0.3055
+        if op != "sub":
+            z = z * (w - 0.23 - i * 0.01) / n
+        else:
+            z = 1e-7 if n > 4 else z * w / {1: 1.0, 2: 1.8, 3: 1.8, 4: 4.0}[n]
+        z, before = z * 1.15 if abs(i - before) == 1 else z, i
+    return z
 
-def test_event_distance():
-    assert [event_distance(*x) for x in [("ACGT", "ACGT", 4), ("ACGT", "AGGT", 4), ("AAACCC", "AAA", 4), ("AAACCC", "TTTGGG", 3), ("", "", 1), ("", "ACG", 3), ("ACGTACGT", "ACGACGTT", 5)]] == [0, 1, 1, 6, 0, 1, 2]
+
+def plain_best(query, target, indels, mismatches, upstream):
+    q, t = (query[::-1], target[::-1]) if upstream else (query, target)
+    found = None
+    for events in plain_paths(q, t, indels, mismatches):
+        if upstream:
+            events = [(op, -pos, a, b) for op, pos, a, b in events]
+        score = plain_score(events)
+        if found is None or score > found[0]:
+            found = score, events[::-1] if upstream else events
+        if score == 1.0:
+            break
+    return found
+
+
+def as_pair(got):
+    return None if got["score"] is None else (got["score"], [tuple(e.values()) for e in got["details"]])
+
+
+def test_golden_scores():
+    for target, paths, score, events in SCORES:
+        assert len(plain_paths(Q[::-1], target[::-1], 2, 4)) == paths
+        got = as_pair(best(Q, target, 2, 4, True))
+        assert (score_text(got[0]), got[1]) == (score, events)
+    assert as_pair(best(Q, "TTAGTGAGCGTCATGTGGAGTC", 2, 4, True)) is None
+    assert as_pair(best(Q, "ATCGAGCGTCGCGTGGAGTCTT", 2, 4, False)) == (0.309, [("sub", 1, "C", "A")])
+
+
+@pytest.mark.parametrize("indels,mismatches", [(0, 0), (0, 5), (1, 2), (2, 4), (3, 6)])
+def test_best_alignments_equal_all_paths(indels, mismatches):
+    rng = random.Random(indels)
+    queries, targets = [], []
+    for _ in range(150):
+        q = "".join(rng.choice("ACGT") for _ in range(rng.choice([1, 2, 7, 10, 12] if indels == 3 else [1, 3, 20, 20, 24, 31, 32])))
+        t = list(q)
+        for _ in range(rng.randrange(4)):
+            if t:
+                i = rng.randrange(len(t))
+                t[i : i + 1] = rng.choice([[], [rng.choice("ACGTN")], [rng.choice("ACGT"), t[i]]])
+        t = "".join(t)
+        queries.append(rng.choice([q, "A" * len(q)]) if rng.random() < 0.2 else q)
+        targets.append(rng.choice([t, "AC"[: rng.randrange(3)] + t, t[: rng.randrange(len(t) + 1)], "A" * len(t) + "AA", t + "GT"]))
+    queries, targets = [*queries, None, "A", "", "ACG"], [*targets, "A", None, "A", ""]
+    for upstream in (True, False):
+        got = [as_pair(x) for x in best_alignments(queries, targets, indels, mismatches, upstream).to_pylist()]
+        want = [None if q is None or t is None else plain_best(q, t, indels, mismatches, upstream) for q, t in zip(queries, targets)]
+        assert got == want
+
+
+def plain_event_distance(a, b, limit):
+    table = [[max(i, j) if not i or not j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            table[i][j] = min(table[i - 1][j - 1] + (x != y), table[i - 1][j] + 1, table[i][j - 1] + 1)
+    if table[-1][-1] > limit:
+        return table[-1][-1]
+    i, j, run, events = len(a), len(b), False, 0
+    while i or j:
+        if i and j and table[i][j] == table[i - 1][j - 1] + (a[i - 1] != b[j - 1]):
+            events, run, i, j = events + (a[i - 1] != b[j - 1]), False, i - 1, j - 1
+        else:
+            events, run = events + (not run), True
+            if i and table[i][j] == table[i - 1][j] + 1:
+                i -= 1
+            else:
+                j -= 1
+    return events
+
+
+def test_event_distance(spark):
+    rng = random.Random(9)
+    pairs = [("ACGT", "ACGT"), ("ACGT", "AGGT"), ("AAACCC", "AAA"), ("AAACCC", "TTTGGG"), ("", ""), ("", "ACG"), ("ACGTACGT", "ACGACGTT"), ("A" * 3000, "A" * 2998 + "C"), (None, "A"), ("A", None)]
+    for _ in range(200):
+        s = "".join(rng.choice("AC") for _ in range(rng.randrange(8, 15)))
+        pairs.append((s, mutated(rng, s) if rng.random() < 0.7 else s[: rng.randrange(len(s))]))
+    df = spark.createDataFrame(pairs, "a string, b string")
+    for limit in (0, 1, 4, 30):
+        got = df.select("a", "b", event_distance(F.col("a"), F.col("b"), limit).alias("e")).collect()
+        assert all(r.e == (None if r.a is None or r.b is None else plain_event_distance(r.a, r.b, limit)) for r in got if len(r.a or "") < 1000)
+    assert df.where("length(a) = 3000").select(event_distance(F.col("a"), F.col("b"), 4)).first()[0] == 2
 
 
 def test_padded_targets_and_scored_hits(spark):
