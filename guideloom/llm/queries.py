@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from guideloom.llm.lookalikes import consistent_texts, look_alike_pairs
+from guideloom.llm.lookalikes import CYRILLIC, GREEK, consistent_texts, look_alike_classes, look_alike_pairs
 from guideloom.llm.ngrams import ngram_counts
 from guideloom.llm.packing import pack_items
 from guideloom.llm.splitting import sites_in_pieces, split_sequences
@@ -14,7 +16,7 @@ from guideloom.llm.topn import top_n_per_group
 from guideloom.plans.scratch import Scratch
 from guideloom.tables import Query, table
 
-PIECE_LIMIT = 6000
+PIECE_LIMIT, PIECE_OVERLAP = 6000, 50
 CONTAINER_TOKENS = 2048
 
 
@@ -34,6 +36,14 @@ def p2_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_sequences(table(spark, d, "contigs"), "chrom_idx", "chrom_sequence", max_size=PIECE_LIMIT, objective="balanced", with_text=True)
 
 
+def p2_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Of every contig the bases that the pieces of p2_pieces cover, by their bounds and by their texts, and the number of pieces that break a limit."""
+    size = F.col("piece_end") - F.col("piece_start")
+    wrong = (size > PIECE_LIMIT) | (size != F.length("piece"))
+    shared = PIECE_OVERLAP * (F.count(F.lit(1)) - 1)
+    return p2_pieces(spark, d).groupBy("chrom_idx").agg((F.sum(size) - shared).alias("by_bounds"), (F.sum(F.length("piece")) - shared).alias("by_texts"), F.max("piece_end").alias("last_end"), F.count_if(wrong).alias("n_wrong"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """The five best targets of each query."""
     best = top_n_per_group(table(spark, d, "scored_results"), "query_name", "target_name", "score", "result_id", 5)
@@ -83,25 +93,49 @@ def p8_roundtrip(spark: SparkSession, d: str) -> DataFrame:
     return documents.select("doc_id", "text").join(decoded, "doc_id").select("doc_id", "n_tokens", same.alias("same"))
 
 
+def p8_decoded(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's text as its token ids give it back; empty where it has none."""
+    return decoded_texts(token_ids(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "ids")
+
+
 def p9_bins(spark: SparkSession, d: str) -> DataFrame:
     """Containers of the documents' texts, in tokens."""
     sizes = token_counts(table(spark, d, "documents"), "doc_id", "text")
     return pack_items(sizes, "doc_id", "n_tokens", CONTAINER_TOKENS)
 
 
+def p9_fill(spark: SparkSession, d: str) -> DataFrame:
+    """One row: containers over capacity, documents whose parts don't add up or were divided without need, and whether the containers are at most a hundredth, or one, more than the least number possible."""
+    documents = Scratch(spark, "tokens").written(token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    bins = Scratch(spark, "bins").written(pack_items(documents, "doc_id", "n_tokens", CONTAINER_TOKENS))
+    of_bin = bins.groupBy("container_id").agg(F.sum("size").alias("fill"))
+    filled = of_bin.agg(F.count_if(F.col("fill") > CONTAINER_TOKENS).alias("n_over"), F.count(F.lit(1)).alias("n"), F.sum("fill").alias("tokens"))
+    least = F.ceil(F.col("tokens") / CONTAINER_TOKENS)
+    parts = bins.groupBy("doc_id").agg(F.sum("size").alias("held"), F.count(F.lit(1)).alias("parts"))
+    whole = (F.col("held") == F.col("n_tokens")) & (F.col("parts") == F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / CONTAINER_TOKENS)))
+    wrong = documents.join(parts, "doc_id", "left").agg(F.count_if(~F.coalesce(whole, F.lit(False))).alias("n_wrong"))
+    return filled.select("n_over", (F.col("n") <= F.greatest(least + 1, least * 1.01)).alias("is_full"), F.lit(0).alias("one")).join(wrong.withColumn("one", F.lit(0)), "one").select("n_over", "n_wrong", "is_full")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of documents whose texts differ but look the same."""
     pairs = look_alike_pairs(table(spark, d, "documents"), "doc_id", "text")
     return pairs.select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every document with a text, and how many documents differ from it but look the same."""
+    return look_alike_classes(table(spark, d, "documents"), "doc_id", "text")
+
+
 def p10_texts(spark: SparkSession, d: str) -> DataFrame:
     """The one consistent form of every text."""
     return consistent_texts(table(spark, d, "documents"), "doc_id", "text")
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (p2_found, p2_sites, p2_pieces, p4_found, p6_found, p6_counts, p6_kmers, p8_ids, p8_roundtrip, p9_bins, p10_found, p10_texts)
+    f.__name__: f
+    for f in (p2_found, p2_sites, p2_pieces, p2_coverage, p4_found, p6_found, p6_counts, p6_kmers, p8_ids, p8_roundtrip, p8_decoded, p9_bins, p9_fill, p10_found, p10_classes, p10_texts)
 }
 
 _PIECES = """WITH RECURSIVE c AS (
@@ -126,7 +160,35 @@ m AS (
   SELECT *, CASE WHEN n_hits = 1 THEN 'rare' WHEN n_queries * 20 >= (SELECT count(DISTINCT query_name) FROM search_hits) THEN 'common' END AS mark FROM k)
 """
 
+
+
+def _plain_form(text: str) -> str:
+    """SQL of a text's form by replacing and composing characters; for the kinds of characters that the tables hold."""
+    letters = dict(zip(CYRILLIC[0] + GREEK[0], CYRILLIC[1] + GREEK[1], strict=True))
+    odd = list(letters) + [chr(n) for n in range(0xFF01, 0xFF5F)]
+    latin = list(letters.values()) + [chr(n - 0xFEE0) for n in range(0xFF01, 0xFF5F)]
+    for n in (*range(0x370, 0x530), *range(0x1F00, 0x2000)):  # letters with accents, as one character
+        base, *marks = unicodedata.normalize("NFD", chr(n))
+        if marks and base in letters:
+            odd.append(chr(n))
+            latin.append(unicodedata.normalize("NFC", letters[base] + "".join(marks)))
+    pairs = [(a, b) for a, b in zip(odd, latin, strict=True) if len(b) == 1]
+    quoted = lambda chars: "'" + "".join(chars).replace("'", "''") + "'"
+    bare = rf"regexp_replace({text}, '[\x{{ad}}\x{{200b}}-\x{{200f}}\x{{2060}}-\x{{2064}}\x{{feff}}]', '', 'g')"
+    spaced = rf"regexp_replace({bare}, '[\x{{a0}}\x{{2000}}-\x{{200a}}\x{{202f}}\x{{205f}}\x{{3000}}]', ' ', 'g')"
+    return f"nfc_normalize(translate(nfc_normalize({spaced}), {quoted(a for a, _ in pairs)}, {quoted(b for _, b in pairs)}))"
+
+
+_FORMS = f"WITH f AS (SELECT doc_id, text, {_plain_form('text')} AS form FROM documents WHERE text <> '')"
+
 SQL = {
+    "p2_coverage": "SELECT chrom_idx, length(chrom_sequence) AS by_bounds, length(chrom_sequence) AS by_texts, length(chrom_sequence) AS last_end, 0 AS n_wrong FROM contigs WHERE chrom_sequence <> ''",
+    "p8_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+    "p9_fill": "SELECT 0 AS n_over, 0 AS n_wrong, true AS is_full FROM (SELECT count(*) FROM documents)",
+    "p10_found": f"{_FORMS} SELECT a.doc_id AS doc_id_a, b.doc_id AS doc_id_b FROM f a JOIN f b ON a.form = b.form AND a.doc_id < b.doc_id AND a.text <> b.text",
+    "p10_classes": f"""{_FORMS}, k AS (SELECT form, text, count(*) AS n FROM f GROUP BY form, text), c AS (SELECT form, min(doc_id) AS class_id, count(*) AS n_all FROM f GROUP BY form)
+SELECT doc_id, class_id, n_all - n AS links FROM f JOIN k USING (form, text) JOIN c USING (form)""",
+    "p10_texts": f"SELECT doc_id, {_plain_form('text')} AS text FROM documents",
     "p2_found": _PIECES.format(least=PIECE_LIMIT) + "SELECT chrom_idx, s AS piece_start, e AS piece_end FROM r",
     "p2_sites": _PIECES.format(least=0)
     + """SELECT l.site_id, l.chrom_idx, min(r.s) AS piece_start, min(r.e) AS piece_end FROM spacer_locations l

@@ -2,12 +2,12 @@
 
 Method: dynamic programming over boundary positions. A state is the start of a piece; from it the
 piece may end at any boundary inside the size window, or at the limit where the window holds none.
-The objective `total` minimises the sum of cut penalties and squared size imbalance over all
-pieces but the last, and cuts apart from boundaries only where the window holds none, at the limit;
-`balanced` minimises this sum over all pieces, the last too, and over all places of cuts: cuts
-between two boundaries are best in equal distances, so boundaries are still the only states;
-`leftmost` compares plans piece by piece from the left (cut at a boundary first, then the
-longest piece), an order under which the best plan of a state starts with its best first piece.
+States are found from the left and solved from the right: the plan of a state is the least over
+all ends of its first piece, joined with the plan of the state that follows, by the objective:
+`leftmost` compares plans piece by piece (an unbroken cut first, then the longest piece, then the
+plan of the rest); `total` adds up cut penalties and squared size imbalance over all pieces but the
+last; `balanced` minimises this sum over all pieces, the last too, and over all places of cuts: cuts
+between two boundaries are best in equal distances, so boundaries are still the only states.
 
 Boundaries are found inside the JVM; only their distances travel to the tasks' Python, never the
 sequences, so a very long sequence costs a short array.
@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
-from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -30,33 +29,35 @@ PIECES = "array<struct<piece_start:bigint,piece_end:bigint>>"
 def best_pieces(length: int, cuts: list[int], max_size: int, min_size: int, overlap: int, objective: str) -> list[tuple[int, int]]:
     """Pieces (start, end) of a sequence with boundaries at the sorted positions ``cuts``."""
     target = (max_size + min_size) / 2
-    best: dict[int, tuple[float, int, int]] = {0: (0.0, -1, 0)}  # start -> cost, start of the piece before, its end
+    ends: dict[int, list[tuple[int, int]]] = {}  # start -> (broken cut, end) of every first piece
     queue = [0]
-    final: tuple[float, int] | None = None
     while queue:
-        start = heappop(queue)
-        cost = best[start][0]
+        start = queue.pop()
+        if start in ends:
+            continue
         if length - start <= max_size:
-            if final is None or cost < final[0]:
-                final = (cost, start)
+            ends[start] = []  # the last piece
             continue
         inside = cuts[bisect_right(cuts, start + min_size) : bisect_right(cuts, start + max_size)]
-        ends = [(0.0, e) for e in inside] or [(1.0, start + max_size)]
-        if objective == "leftmost":
-            ends = [min(ends, key=lambda x: (x[0], -x[1]))]
-        for penalty, end in ends:
-            then = end - overlap
-            total = cost + penalty + ((end - start - target) / target) ** 2
-            if then not in best:
-                heappush(queue, then)
-            elif best[then][0] <= total:
-                continue
-            best[then] = (total, start, end)
-    pieces, at, end = [], final[1], length
-    while at >= 0:
-        pieces.append((at, end))
-        _, at, end = best[at]
-    return pieces[::-1]
+        ends[start] = [(0, end) for end in inside] or [(1, start + max_size)]
+        queue += [end - overlap for _, end in ends[start]]
+
+    plan: dict[int, tuple] = {}  # start -> cost of its best plan (leftmost: of the first piece, and the next state), first end
+    for start in sorted(ends, reverse=True):
+        if not ends[start]:
+            plan[start] = ((0, 0, 0) if objective == "leftmost" else 0.0, length)
+        elif objective == "leftmost":
+            # Different ends give first pieces of different length, so that no two plans are equal up to the rest.
+            plan[start] = min(((broken, start - end, end - overlap), end) for broken, end in ends[start])
+        else:
+            plan[start] = min((broken + ((end - start - target) / target) ** 2 + plan[end - overlap][0], end) for broken, end in ends[start])
+    pieces, start = [], 0
+    while True:
+        end = plan[start][1]
+        pieces.append((start, end))
+        if not ends[start]:
+            return pieces
+        start = end - overlap
 
 
 def balanced_pieces(length: int, cuts: list[int], max_size: int, min_size: int, overlap: int) -> list[tuple[int, int]]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from guideloom.plans.ordering import batches, partition_no, range_sorted, starts
+from guideloom.plans.ordering import batches, codes, partition_no, range_sorted, starts
 from guideloom.plans.scratch import Scratch
 
 
@@ -46,12 +46,17 @@ def _local_best(n: int, schema: pa.Schema):
             grp, item, ident = batch.columns
             new = starts([grp], before)
             bounds = [0, *(np.flatnonzero(new[1:]) + 1).tolist(), batch.num_rows]
+            # Of an item that comes more often in a group only the first row of the batch is looked at.
+            which = codes(item)
+            fresh = np.sort(np.unique(np.stack([np.cumsum(new), which]), axis=1, return_index=True)[1])
             for a, b in zip(bounds, bounds[1:], strict=False):
                 if new[a] and before is not None:
                     close(edge=first)  # the partition's first group may have begun before it
                     first = False
                 before = (grp[a].as_py(),)
-                for i in range(a, b):
+                if len(held) == n:
+                    continue
+                for i in fresh[np.searchsorted(fresh, a) : np.searchsorted(fresh, b)].tolist():
                     if len(held) == n:
                         break
                     if (x := item[i].as_py()) not in seen:

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from guideloom.llm.lookalikes import cluster_form, compiled_mapping, consistent_texts, look_alike_letters, look_alike_pairs, met_rows, transducer
+from guideloom.llm.lookalikes import cluster_form, compiled_mapping, consistent_texts, look_alike_classes, look_alike_letters, look_alike_pairs, met_rows, transducer
 from tests.conftest import rows
 
 FORM = transducer(compiled_mapping())
@@ -32,7 +32,9 @@ def test_one_pass_is_final_and_ignores_composition(text):
 
 
 def test_mapping_has_no_ascii_and_letters_look_latin():
-    assert all(n > 127 for n in compiled_mapping())
+    table = compiled_mapping()
+    assert all(len(c) <= 6 and not c.isascii() for c in table) and all(FORM(c) == form for c, form in table.items())
+    assert table["\u0435\u0301"] == "é" and table["ﾊﾞ"] == "バ" and table["ê\u0301"] == table["e\u0302\u0301"] == "ế"
     assert all(v.isascii() and v.isalpha() and cluster_form(k, look_alike_letters()) == v for k, v in look_alike_letters().items())
 
 
@@ -47,6 +49,10 @@ def test_pairs_equal_brute_force_with_a_hot_group(spark):
     want = [(a, b) for a, x in data for b, y in data if a < b and x and y and x != y and FORM(x) == FORM(y)]
     assert rows(look_alike_pairs(df, "id", "text", per_task=50)) == sorted(want, key=str)
     assert rows(look_alike_pairs(df.where("false"), "id", "text")) == []
+    known = [(i, x, FORM(x)) for i, x in data if x]
+    classes = [(i, min(j for j, _, g in known if g == f), sum(g == f and x != y for _, y, g in known)) for i, x, f in known]
+    assert rows(look_alike_classes(df, "id", "text")) == sorted(classes, key=str)
+    assert rows(look_alike_classes(df.where("false"), "id", "text")) == []
 
 
 def test_rows_of_one_text_do_not_meet(spark):
