@@ -15,19 +15,22 @@ SEQ_TYPES = ("gene", "mrna", "cds")
 
 
 def latest_features(features: DataFrame) -> DataFrame:
-    """One row per non-null id, the last by loaded_at and row_id; feature in lower case, parent without blanks around.
+    """The last delivery of each feature by loaded_at and row_id; feature in lower case, parent without blanks around.
 
-    Features of a file have a column gene_id: there a gene, a transcript and a part may share an id.
+    A gene, a transcript or another feature is known by its id, and has one. A part (exon or CDS) is
+    known by all of id, parent, kind and place: the parts of a CDS may share an id, and parts
+    without an id count as well. Features of a file have a column gene_id: there a gene, a
+    transcript and a part may share an id, and a part is also known by its gene.
     """
     kept = ["seqid", "start_1based", "end_1based", "strand", "phase"]
-    keys = ["id"]
+    kind, parent = F.lower("feature"), F.nullif(F.btrim("parent"), F.lit(""))
+    is_part = F.coalesce(kind.isin(*PARTS), F.lit(False))
+    keys = [F.col("id"), is_part.alias("is_part"), *(F.when(is_part, c).alias(f"part{i}") for i, c in enumerate((parent, kind, F.col("seqid"), F.col("start_1based"), F.col("end_1based"))))]
     if "gene_id" in features.columns:
         kept.append("gene_id")
-        kind = F.lower("feature")
-        features = features.withColumn("level", F.when(kind == GENE, 0).when(kind.isin(*TRANSCRIPTS), 1).otherwise(2))
-        keys.append("level")
-    row = F.struct("loaded_at", "row_id", F.lower("feature").alias("feature"), F.nullif(F.btrim("parent"), F.lit("")).alias("parent"), *kept)
-    best = features.where("id is not null").groupBy(*keys).agg(F.max(row).alias("r"))
+        keys += [F.when(kind == GENE, 0).when(kind.isin(*TRANSCRIPTS), 1).otherwise(2).alias("level"), F.when(is_part, F.col("gene_id")).alias("part_gene")]
+    row = F.struct("loaded_at", "row_id", kind.alias("feature"), parent.alias("parent"), *kept)
+    best = features.where(F.col("id").isNotNull() | is_part).groupBy(*keys).agg(F.max(row).alias("r"))
     return best.select("id", "r.feature", "r.parent", *(f"r.{k}" for k in kept))
 
 
@@ -77,7 +80,7 @@ def annotation_sequences(features: DataFrame, contigs: DataFrame, seq_type: str,
     if gene is not None:
         rows = rows.where(F.col("gene_id") == gene)
     wanted = rows.select(
-        F.struct("name", "gene_id", "id", "start_1based", "end_1based", "strand", "trim").alias("item"), F.col("seqid").alias("chrom"), (F.col("start_1based") - 1).alias("lo"), F.col("end_1based").alias("hi"), F.col("end_1based").alias("need")
+        F.struct("name", "gene_id", "id", "seqid", "start_1based", "end_1based", "strand", "trim").alias("item"), F.col("seqid").alias("chrom"), (F.col("start_1based") - 1).alias("lo"), F.col("end_1based").alias("hi"), F.col("end_1based").alias("need")
     )
     parts = slices(wanted, contigs).select("item.*", F.expr("substring(seq, item.trim + 1)").alias("seq"))
     whole = parts.groupBy("name", "gene_id").agg(F.sort_array(F.collect_list(F.struct("start_1based", "end_1based", "id", "seq"))).alias("parts"), F.max("strand").alias("strand"))

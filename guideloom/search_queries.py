@@ -18,7 +18,7 @@ from guideloom.params import SearchParams
 from guideloom.pipeline_queries import RECORD_LINES
 from guideloom.plans.scratch import Scratch
 from guideloom.sources.annotation_lines import loaded, parse_annotation_lines
-from guideloom.sources.files import attribute, hit_lines, raw_lines, scored_lines
+from guideloom.sources.files import annotation_features, attribute, hit_lines, raw_lines, scored_lines
 from guideloom.tables import Query, table
 
 PARAMS = SearchParams()
@@ -204,6 +204,11 @@ def transcript_segments(spark: SparkSession, d: str) -> DataFrame:
     return transcript_parts(table(spark, d, "annotation_features"))
 
 
+def line_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Exons and CDS parts of the annotation lines, as a search from a gene of a file takes them."""
+    return transcript_parts(annotation_features(parse_annotation_lines(table(spark, d, "raw_annotation"), strict=False)))
+
+
 def _annotation(seq_type: str) -> Query:
     def query(spark: SparkSession, d: str) -> DataFrame:
         return annotation_sequences(table(spark, d, "annotation_features"), _genome(spark, d), seq_type)
@@ -216,7 +221,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         contig_stats, sites_single_pam, sites_dual_pam, sites_down, sites_unequal_pams, dust_filter, site_sequences, site_codes, code_uniqueness, reverse_complement, hit_regions,
         hit_distances, event_distance, mismatch_join, indel_join, genome_search, combine_priority, raw_hits, raw_file, hit_file, scored_file, report_page, padded, scored_genome_hits, score_texts, query_summary,
-        count_filter, over_represented, on_target_filter, line_attributes, transcript_segments,
+        count_filter, over_represented, on_target_filter, line_attributes, line_segments, transcript_segments,
     )
 } | {f"anno_{t}": _annotation(t) for t in ("gene", "mrna", "cds")}
 
@@ -260,9 +265,11 @@ _COMBINED = """b AS (
     ORDER BY search_type = 'Indel', distance NULLS FIRST, target_seq NULLS FIRST, query_seq NULLS FIRST, search_type) AS r FROM search_hits),
 k AS (SELECT query_name, query_seq, target_name, target_seq, distance, search_type FROM b WHERE r = 1)"""
 _RAW = f"{_COMBINED}, f AS (SELECT *, CAST(count(*) OVER (PARTITION BY query_name, target_seq) AS INTEGER) AS genomic_frequency FROM k)"
-_LATEST = """l AS (
-  SELECT id, lower(feature) AS feature, nullif(trim(parent), '') AS parent, seqid, start_1based, end_1based, strand, phase FROM (
-    SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST, row_id DESC) AS rn FROM annotation_features WHERE id IS NOT NULL) WHERE rn = 1)"""
+_LATEST = """x AS (SELECT id, lower(feature) AS feature, nullif(trim(parent), '') AS parent, seqid, start_1based, end_1based, strand, phase, loaded_at, row_id FROM annotation_features),
+l AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY loaded_at DESC NULLS LAST, row_id DESC) AS rn FROM x WHERE id IS NOT NULL AND (feature IS NULL OR feature NOT IN ('exon', 'cds'))) WHERE rn = 1
+  UNION ALL SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, parent, feature, seqid, start_1based, end_1based ORDER BY loaded_at DESC NULLS LAST, row_id DESC) AS rn
+    FROM x WHERE feature IN ('exon', 'cds')) WHERE rn = 1)"""
 _PARTS = f"""{_LATEST},
 t AS (SELECT id AS transcript_id, coalesce(parent, id) AS up, strand FROM l WHERE feature IN ('mrna', 'transcript')),
 e AS (SELECT * FROM l WHERE feature IN ('exon', 'cds') AND parent IS NOT NULL),
@@ -279,7 +286,7 @@ def _annotation_sql(rows: str) -> str:
 r AS ({rows}),
 q AS (SELECT r.*, substr(substr(c.seq, start_1based, end_1based - start_1based + 1), trim + 1) AS part,
   c.chrom IS NOT NULL AND start_1based >= 1 AND start_1based <= end_1based AND end_1based <= c.len AS good FROM r LEFT JOIN c ON r.seqid = c.chrom),
-j AS (SELECT name, max(strand) AS strand, string_agg(part, '' ORDER BY start_1based, end_1based, id) AS seq FROM q GROUP BY name HAVING bool_and(coalesce(good, false)))
+j AS (SELECT name, max(strand) AS strand, string_agg(part, '' ORDER BY start_1based, end_1based, id NULLS FIRST, part) AS seq FROM q GROUP BY name HAVING bool_and(coalesce(good, false)))
 SELECT name, CASE WHEN strand = '-' THEN {_RC.format("seq")} ELSE seq END AS seq FROM j WHERE seq <> ''"""
 
 _SIDES = (
@@ -303,6 +310,40 @@ ii AS (SELECT query_name, query_seq, target_name, target_seq, CAST(distance AS I
   FROM y JOIN q ON q.query_seq = y.s JOIN n ON n.target_seq = y.t WHERE distance <= 2)"""
 
 
+def _attribute(name: str) -> str:
+    """SQL of the first attribute of this name, from the masked ninth column ``m``."""
+    first = f"""list_filter(regexp_extract_all(m, '(?:[^;"]|"[^"]*")+'), lambda x: regexp_matches(x, '^\\s*{name}([=\\s]|$)'))[1]"""
+    return f"""replace(regexp_replace(regexp_replace(regexp_replace({first}, '^\\s*{name}[=\\s]?', ''), '^[\\s"]+', ''), '[\\s"]+$', ''), chr(1), '"')"""
+
+
+_PADDED = """nm AS (SELECT DISTINCT target_name FROM search_hits WHERE regexp_matches(target_name, '^(.*):(\\d+)-(\\d+):([+-])$')),
+pp AS (SELECT target_name, regexp_extract(target_name, '^(.*):\\d+-\\d+:[+-]$', 1) AS chrom, CAST(regexp_extract(target_name, ':(\\d+)-\\d+:[+-]$', 1) AS BIGINT) - 1 AS lo,
+  CAST(regexp_extract(target_name, '-(\\d+):[+-]$', 1) AS BIGINT) AS hi, target_name LIKE '%-' AS rev FROM nm),
+ps AS (SELECT target_name, rev, CASE WHEN rev THEN substr(seq, lo + 1, hi + 2 - lo) ELSE substr(seq, greatest(lo - 2, 0) + 1, hi - greatest(lo - 2, 0)) END AS w
+  FROM pp JOIN c ON pp.chrom = c.chrom WHERE lo >= 0 AND lo < hi AND hi <= len),
+pd AS (SELECT target_name, CASE WHEN rev THEN """ + _RC.format("w") + """ ELSE w END AS padded FROM ps)"""
+# Every alignment of each distinct pair, one base or gap a step; then the events' weights in their order.
+_SCORED = f"""{_LAST_CONTIG}, {_PADDED}, {_RAW},
+hp AS (SELECT f.*, upper(query_seq) AS q, padded AS t FROM f JOIN pd ON f.target_name = pd.target_name WHERE query_seq IS NOT NULL),
+dq AS (SELECT q, t, row_number() OVER () AS pid FROM (SELECT DISTINCT q, t FROM hp)),
+wk AS (
+  SELECT pid, reverse(q) AS a, reverse(t) AS b, 0 AS i, 0 AS j, 0 AS subs, 0 AS gaps, '' AS moves, []::STRUCT(op VARCHAR, pos INTEGER, q VARCHAR, t VARCHAR)[] AS ev FROM dq
+  UNION ALL
+  SELECT pid, a, b, CASE WHEN o < 2 THEN i + 1 ELSE i END, CASE WHEN o <> 1 THEN j + 1 ELSE j END, subs + CASE WHEN o = 0 AND NOT same THEN 1 ELSE 0 END, gaps + CASE WHEN o > 0 THEN 1 ELSE 0 END, moves || o,
+    CASE WHEN o = 0 AND same THEN ev WHEN o = 0 THEN list_append(ev, {{'op': 'sub', 'pos': -(i + 1), 'q': x, 't': y}}) WHEN o = 1 THEN list_append(ev, {{'op': 'del', 'pos': -(i + 1), 'q': x, 't': '-'}})
+      ELSE list_append(ev, {{'op': 'ins', 'pos': -(i + 1), 'q': '-', 't': y}}) END
+  FROM (SELECT *, substr(a, i + 1, 1) AS x, substr(b, j + 1, 1) AS y, substr(a, i + 1, 1) = substr(b, j + 1, 1) AS same FROM wk WHERE i < length(a)), (SELECT unnest([0, 1, 2]) AS o)
+  WHERE CASE WHEN o = 0 THEN j < length(b) AND (same OR subs < CASE WHEN gaps > 0 THEN 2 - gaps ELSE 4 END) WHEN o = 1 THEN subs + gaps < 2 ELSE subs + gaps < 2 AND j < length(b) END),
+sw AS (SELECT pid, moves, ev, len(ev) AS n, list_reduce(list_prepend({{'z': 1.0::DOUBLE, 'i': 99, 'op': '', 'n': 0}}, list_transform(list_sort(ev), lambda e: {{'z': 0.0::DOUBLE, 'i': abs(e.pos), 'op': e.op, 'n': len(ev)}})),
+  lambda s, e: {{'z': (CASE WHEN e.op <> 'sub' THEN s.z * (0.0014::DOUBLE * e.i * e.i + 0.0021::DOUBLE * e.i + 0.3055::DOUBLE - 0.23::DOUBLE - e.i * 0.01::DOUBLE) / e.n WHEN e.n > 4 THEN 1e-7::DOUBLE
+    ELSE s.z * (0.0014::DOUBLE * e.i * e.i + 0.0021::DOUBLE * e.i + 0.3055::DOUBLE) / CASE e.n WHEN 1 THEN 1.0::DOUBLE WHEN 4 THEN 4.0::DOUBLE ELSE 1.8::DOUBLE END END)
+    * CASE WHEN abs(e.i - s.i) = 1 THEN 1.15::DOUBLE ELSE 1.0::DOUBLE END, 'i': e.i, 'op': e.op, 'n': e.n}}).z AS score FROM wk WHERE i = length(a)),
+bw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY pid ORDER BY score DESC, moves) AS rk FROM sw) WHERE rk = 1),
+sc AS (SELECT query_name, hp.q AS query_seq, target_name, target_seq, CAST(bw.n AS INTEGER) AS distance, CASE WHEN bw.n = 0 THEN 'Exact' WHEN len(list_filter(ev, lambda e: e.op <> 'sub')) > 0 THEN 'Indel' ELSE 'Mismatch' END AS search_type,
+  genomic_frequency, score, '[' || array_to_string(list_transform(list_reverse(ev), lambda e: '["' || e.op || '",' || e.pos || ',"' || e.q || '","' || e.t || '"]'), ',') || ']' AS details
+  FROM hp JOIN dq ON hp.q = dq.q AND hp.t = dq.t JOIN bw ON dq.pid = bw.pid)"""
+
+
 SQL = {
     "contig_stats": f"WITH {_G} SELECT count(*) AS n_contigs, CAST(sum(len) AS BIGINT) AS total_bases, max(len) AS longest FROM g",
     "sites_single_pam": _sites_sql([(3, ".GG", "CC.")]) + f"SELECT {_SITE} FROM s",
@@ -334,20 +375,42 @@ FROM (SELECT *, least(levenshtein(q, t), levenshtein(substr(q, 2), t), levenshte
     "genome_search": f"""{_SIDES}, {_MISMATCHES}, {_INDELS},
 search_hits AS (SELECT * FROM mm UNION ALL SELECT * FROM ii),
 {_RAW} SELECT query_name, query_seq, target_name, target_seq, distance, search_type, genomic_frequency FROM f""",
-    "line_attributes": f"{RECORD_LINES} SELECT line_no, "
-    + ", ".join(
-        f"""replace(regexp_replace(regexp_replace(regexp_replace(list_filter(regexp_extract_all(m, '(?:[^;"]|"[^"]*")+'), lambda x: regexp_matches(x, '^\\s*{n}([=\\s]|$)'))[1],
-  '^\\s*{n}[=\\s]?', ''), '^[\\s"]+', ''), '[\\s"]+$', ''), chr(1), '"') AS {n.lower()}"""
-        for n in ("ID", "Parent", "gene_id")
-    )
-    + " FROM j WHERE reason IS NULL",
-    "padded": f"""WITH {_LAST_CONTIG},
-n AS (SELECT DISTINCT target_name FROM search_hits WHERE regexp_matches(target_name, '^(.*):(\\d+)-(\\d+):([+-])$')),
-p AS (SELECT target_name, regexp_extract(target_name, '^(.*):\\d+-\\d+:[+-]$', 1) AS chrom, CAST(regexp_extract(target_name, ':(\\d+)-\\d+:[+-]$', 1) AS BIGINT) - 1 AS lo,
-  CAST(regexp_extract(target_name, '-(\\d+):[+-]$', 1) AS BIGINT) AS hi, target_name LIKE '%-' AS rev FROM n),
-s AS (SELECT target_name, rev, CASE WHEN rev THEN substr(seq, lo + 1, hi + 2 - lo) ELSE substr(seq, greatest(lo - 2, 0) + 1, hi - greatest(lo - 2, 0)) END AS w
-  FROM p JOIN c ON p.chrom = c.chrom WHERE lo >= 0 AND lo < hi AND hi <= len)
-SELECT target_name, CASE WHEN rev THEN {_RC.format("w")} ELSE w END AS padded FROM s""",
+    "line_attributes": f"{RECORD_LINES} SELECT line_no, " + ", ".join(f"{_attribute(n)} AS {n.lower()}" for n in ("ID", "Parent", "gene_id")) + " FROM j WHERE reason IS NULL",
+    "line_segments": f"""{RECORD_LINES}, v AS (
+  SELECT line_no, f[1] AS seqid, feat, CAST(f[4] AS BIGINT) AS start_1based, CAST(f[5] AS BIGINT) AS end_1based, f[7] AS strand, CAST(nullif(f[8], '.') AS INTEGER) AS phase,
+    {", ".join(f"nullif({_attribute(n)}, '') AS a_{n.lower()}" for n in ("ID", "Parent", "gene_id", "transcript_id"))}
+  FROM j WHERE (reason IS NULL OR reason = 'id' OR (reason = 'phase' AND f[8] = '.')) AND feat IN ('mrna', 'transcript', 'exon', 'cds')),
+st AS (SELECT coalesce(a_id, a_transcript_id) AS transcript_id, regexp_replace(coalesce(a_parent, a_gene_id, a_id, a_transcript_id), '-mRNA.*$', '') AS up, strand, line_no
+  FROM v WHERE feat IN ('mrna', 'transcript') AND coalesce(a_id, a_transcript_id) IS NOT NULL),
+o AS (SELECT transcript_id, arg_max(up, line_no) AS up, arg_max(coalesce(strand, ''), line_no) AS strand FROM st GROUP BY transcript_id),
+e AS (SELECT coalesce(a_parent, a_transcript_id) AS transcript_id, v.*, a_gene_id AS own FROM v WHERE feat IN ('exon', 'cds') AND coalesce(a_parent, a_transcript_id) IS NOT NULL),
+g AS (SELECT e.*, coalesce(own, o.up, regexp_replace(e.transcript_id, '-mRNA.*$', '')) AS gene_id FROM e LEFT JOIN o ON e.transcript_id = o.transcript_id),
+z AS (SELECT transcript_id, gene_id, CASE WHEN count(*) FILTER (WHERE strand = '-') > 0 THEN '-' ELSE '+' END AS strand
+  FROM (SELECT transcript_id, gene_id, strand FROM g UNION ALL SELECT transcript_id, up, strand FROM o) GROUP BY ALL)
+SELECT g.transcript_id, g.gene_id, z.strand, g.feat AS kind, CAST(line_no AS VARCHAR) AS id, seqid, start_1based, end_1based, phase FROM g JOIN z ON g.transcript_id = z.transcript_id AND g.gene_id = z.gene_id""",
+    "padded": f"WITH {_LAST_CONTIG}, {_PADDED} SELECT target_name, padded FROM pd",
+    "scored_genome_hits": f"WITH RECURSIVE {_SCORED} SELECT query_name, query_seq, target_name, target_seq, distance, search_type, genomic_frequency, score, details FROM sc",
+    "scored_file": f"""WITH RECURSIVE {_SCORED} SELECT coalesce(query_name, '') || chr(9) || query_seq || chr(9) || target_name || chr(9) || coalesce(target_seq, '') || chr(9) || distance || chr(9) || search_type || chr(9)
+  || genomic_frequency || chr(9) || CASE WHEN regexp_matches(printf('%.12g', score), '[.e]') THEN printf('%.12g', score) ELSE printf('%.12g', score) || '.0' END || chr(9) || details AS value FROM sc""",
+    "event_distance": """WITH RECURSIVE d AS (SELECT DISTINCT query_seq AS a, target_seq AS b FROM search_hits WHERE query_seq IS NOT NULL AND target_seq IS NOT NULL),
+n AS (SELECT *, levenshtein(a, b) AS far FROM d),
+-- The rows of the edit table, each from the one before.
+r AS (
+  SELECT a, b, 0 AS i, range(0, length(b) + 1)::BIGINT[] AS row FROM n WHERE far <= 4
+  UNION ALL
+  SELECT a, b, i + 1, list_reduce(list_prepend([i + 1]::BIGINT[], [[j]::BIGINT[] for j in range(1, length(b) + 1)]),
+    lambda acc, x: list_append(acc, least(row[x[1] + 1] + 1, acc[x[1]] + 1, row[x[1]] + CASE WHEN substr(a, i + 1, 1) = substr(b, x[1], 1) THEN 0 ELSE 1 END)))
+  FROM r WHERE i < length(a)),
+t AS (SELECT a, b, list(row ORDER BY i) AS tab FROM r GROUP BY a, b),
+w AS (
+  SELECT a, b, tab, length(a) AS i, length(b) AS j, false AS run, 0 AS events FROM t
+  UNION ALL
+  SELECT a, b, tab, CASE WHEN diag OR del THEN i - 1 ELSE i END, CASE WHEN diag OR NOT del THEN j - 1 ELSE j END, NOT diag, events + CASE WHEN diag THEN differ ELSE CASE WHEN run THEN 0 ELSE 1 END END FROM (
+    SELECT *, NOT diag AND i > 0 AND coalesce(tab[i + 1][j + 1] = tab[i][j + 1] + 1, false) AS del FROM (
+      SELECT *, i > 0 AND j > 0 AND coalesce(tab[i + 1][j + 1] = tab[i][j] + differ, false) AS diag FROM (
+        SELECT *, CASE WHEN i > 0 AND j > 0 AND substr(a, i, 1) = substr(b, j, 1) THEN 0 ELSE 1 END AS differ FROM w WHERE i > 0 OR j > 0))))
+SELECT a AS query_seq, b AS target_seq, CAST(events AS INTEGER) AS events FROM w WHERE i = 0 AND j = 0
+UNION ALL SELECT a, b, CAST(far AS INTEGER) FROM n WHERE far > 4""",
     "score_texts": """SELECT result_id, CASE WHEN regexp_matches(t, '[.e]') THEN t ELSE t || '.0' END AS score_text
 FROM (SELECT result_id, printf('%.12g', score) AS t FROM scored_results WHERE score IS NOT NULL AND NOT isnan(score))""",
     "query_summary": """SELECT query_name, count(*) AS total, count(*) FILTER (WHERE search_type = 'Exact') AS exact, count(*) FILTER (WHERE search_type = 'Mismatch') AS mismatch,
