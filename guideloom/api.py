@@ -5,7 +5,7 @@ from __future__ import annotations
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ from guideloom.operators.scored import scored_hits
 from guideloom.operators.search import indel_hits, mismatch_hits, search
 from guideloom.params import LONGEST_SPACER, SearchParams
 from guideloom.plans.scratch import Scratch
-from guideloom.sources.files import read_fasta
+from guideloom.sources.files import read_fasta, read_scored, scored_rows
 
 
 def search_files(spark: SparkSession, queries: str, targets: str, length: int | None = None, limit: int = 4, indels: bool = False) -> DataFrame:
@@ -42,6 +42,11 @@ def search_files(spark: SparkSession, queries: str, targets: str, length: int |
     return reduce(DataFrame.unionByName, parts)
 
 
+def report_file(spark: SparkSession, scored: str, html: str) -> None:
+    """The report of a scored result file, without a search; ``html`` is a folder of text files, see write_report."""
+    write_report(scored_rows(read_scored(spark, scored)), html)
+
+
 @dataclass
 class OffTargetSession:
     """Searches with one set of parameters. The tool's cut modes are the same plans: contigs are always tiled."""
@@ -49,6 +54,7 @@ class OffTargetSession:
     spark: SparkSession
     params: SearchParams = SearchParams()
     progress: Progress | None = None
+    tag: str = field(default_factory=lambda: f"search-{uuid.uuid4().hex[:8]}")
 
     def query_sites(self, queries: DataFrame) -> DataFrame:
         """Sites of query sequences (chrom_idx, chrom_name, chrom_sequence), beside the primary PAM only."""
@@ -86,23 +92,24 @@ class OffTargetSession:
         return scored_hits(self.raw(queries, contigs), genome(contigs), self.params)
 
     def run(self, queries: DataFrame, contigs: DataFrame, raw: bool = False, html: str | None = None) -> DataFrame:
-        """Raw or scored hits and, for scored ones, the report; under a tag, so that cancel() stops its jobs.
+        """Raw or scored hits and, for scored ones, the report. All work is done here: the result is a written table.
 
-        With ``progress`` each stage is written before the next begins, so that its events say when it ran.
+        Its jobs run under the session's tag, so that cancel() in another thread stops them; then
+        this raises Spark's error. With ``progress`` each stage is written before the next begins,
+        so that its events say when it ran.
         """
         if raw and html:
             raise ValueError("a report needs scores: choose raw or html")
-        self.tag = f"search-{uuid.uuid4().hex[:8]}"
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         try:
             if self.progress:
                 return self._told(self.progress, queries, contigs, raw, html)
-            hits = self.raw(queries, contigs) if raw else self.scored(queries, contigs)
+            hits = Scratch(self.spark, "result").written(self.raw(queries, contigs) if raw else self.scored(queries, contigs))
             if html:
                 write_report(hits, html)
             return hits
         finally:
-            self.spark.removeTag(self.tag)
+            self.spark.sparkContext.removeJobTag(self.tag)
 
     def _told(self, progress: Progress, queries: DataFrame, contigs: DataFrame, raw: bool, html: str | None) -> DataFrame:
         """run() stage by stage, with its events."""
@@ -129,7 +136,8 @@ class OffTargetSession:
         return hits
 
     def cancel(self) -> None:
-        self.spark.interruptTag(self.tag)
+        """Stops the jobs of a run() in another thread; does nothing where none runs."""
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)  # a tag of the session would hold in its own thread only
 
     def summary(self, scored: DataFrame) -> DataFrame:
         return ordered_summary(query_summary(scored))

@@ -88,6 +88,13 @@ def read_scored(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(*(cells[i].alias(c) for i, c in enumerate(SCORED_COLUMNS)))
 
 
+def scored_rows(text: DataFrame) -> DataFrame:
+    """What read_scored gives as scored hits: named and typed like those of a search; what is no number is null."""
+    kinds = {"distance": "int", "genomic_frequency": "int", "score": "double"}
+    names = dict(zip([*RAW_FIELDS, "score", "details"], SCORED_COLUMNS, strict=True))
+    return text.select(*(F.col(c).try_cast(kinds[n]).alias(n) if n in kinds else F.col(c).alias(n) for n, c in names.items()))
+
+
 def _tab_line(columns: list[Column]) -> Column:
     return F.concat_ws("\t", *(F.coalesce(c.cast("string"), F.lit("")) for c in columns)).alias("value")
 

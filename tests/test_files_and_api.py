@@ -2,11 +2,13 @@ import gzip
 import json
 import subprocess
 import sys
+import threading
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from guideloom.api import OffTargetSession, search_files
+from guideloom.api import OffTargetSession, report_file, search_files
 from guideloom.operators.annotation import annotation_sequences
 from guideloom.operators.extraction import genome
 from guideloom.operators.report import Progress, report_lines
@@ -59,6 +61,36 @@ def test_result_files(spark, tmp_path):
     assert RAW_COLUMNS == SCORED_COLUMNS[:7]
 
 
+def test_report_of_a_result_file(spark, tmp_path):
+    df = scored(spark)
+    write_lines(scored_lines(df), str(tmp_path / "out"), SCORED_COLUMNS)
+    report_file(spark, str(tmp_path / "out/*"), str(tmp_path / "page"))
+    page = sorted(r.value for r in spark.read.text(str(tmp_path / "page")).collect())
+    assert page == sorted(r.value for r in report_lines(df).collect())
+
+
+def test_cancel_stops_a_run(spark):
+    slow = F.udf(lambda s: time.sleep(60) or s)
+    rows_of = spark.createDataFrame([(0, "c", "TTCTCGAGCGTCGCGTGGAGTCCGG")], "chrom_idx long, chrom_name string, chrom_sequence string")
+    session, ended = OffTargetSession(spark), []
+    session.cancel()  # nothing runs yet
+
+    def run():
+        try:
+            ended.append(session.run(rows_of, rows_of.withColumn("chrom_sequence", slow("chrom_sequence"))))
+        except Exception as error:
+            ended.append(str(error))
+
+    thread = threading.Thread(target=run)
+    began = time.monotonic()
+    thread.start()
+    while thread.is_alive() and time.monotonic() - began < 50:
+        time.sleep(1)
+        session.cancel()
+    thread.join(1)
+    assert len(ended) == 1 and "cancel" in ended[0].lower() and time.monotonic() - began < 50
+
+
 def test_report_is_in_order_and_escaped(spark):
     page = [r.value for r in report_lines(scored(spark)).collect()]
     text = "\n".join(page)
@@ -94,6 +126,16 @@ def features(spark, strand):
     return spark.createDataFrame([("T", 0, *x) for x in data], "seqid string, loaded_at int, row_id long, feature string, start_1based long, end_1based long, strand string, phase int, id string, parent string")
 
 
+def test_parts_with_a_shared_id_or_none_all_count(spark):
+    data = [(1, "gene", 3, 30, "+", None, "ENSG1", None), (2, "mRNA", 3, 30, "+", None, "ENST1", "ENSG1"), (3, "exon", 3, 10, "+", None, None, "ENST1"), (4, "exon", 15, 22, "+", None, None, "ENST1"), (5, "CDS", 5, 10, "+", 0, "cds1", "ENST1"), (6, "CDS", 15, 20, "+", 1, "cds1", "ENST1")]
+    schema = "seqid string, loaded_at int, row_id long, feature string, start_1based long, end_1based long, strand string, phase int, id string, parent string"
+    df = spark.createDataFrame([("T", 0, *x) for x in data] + [("T", 1, 9, "cds", 15, 20, "+", 2, "cds1", " ENST1 ")], schema)  # the last line delivered again
+    session = OffTargetSession(spark)
+    contigs = spark.createDataFrame([(0, "T", T)], "chrom_idx long, chrom_name string, chrom_sequence string")
+    for kind, want in (("mrna", "GTACGTTAATTGCAAC"), ("cds", "ACGTTATGCA")):
+        assert rows(session.gene_queries(df, contigs, "ENSG1", kind).select("chrom_name", "chrom_sequence")) == [("ENST1", want)]
+
+
 @pytest.mark.parametrize("strand,want", [("+", ("GTACGTTAGGCCATTGCAACGGTTAACC", "GTACGTTAATTGCAAC", "ACGTTATGCA")), ("-", ("GGTTAACCGTTGCAATGGCCTAACGTAC", "GTTGCAATTAACGTAC", "TGCATAACGT"))])
 def test_annotation_sequences(spark, strand, want):
     contigs = genome(spark.createDataFrame([(0, "T", T)], "chrom_idx long, chrom_name string, chrom_sequence string"))
