@@ -55,23 +55,33 @@ def tree_rounds(splits: int, fan_in: int) -> int:
     return rounds
 
 
+def estimated_splits(df: DataFrame) -> int:
+    """Number of chunks of df's input by the size of its sources as Spark's plan states it; nothing is run."""
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    chunk = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
+    splits = 0
+    for leaf in (leaves.apply(i) for i in range(leaves.size())):
+        rows_in_memory = leaf.getClass().getSimpleName() == "LogicalRDD"  # has partitions, but no size
+        splits += leaf.rdd().getNumPartitions() if rows_in_memory else -(-int(str(leaf.stats().sizeInBytes())) // chunk)
+    return max(spark.sparkContext.defaultParallelism, splits)
+
+
 def tree_aggregate(df: DataFrame, keys: list[str], partials: list[Partial], fan_in: int = 8, splits: int | None = None) -> DataFrame:
     """One row per distinct value of ``keys`` (null is a value) with the aggregates.
 
     Columns: the keys, then each partial's name. An empty table gives no rows. Rows are neither
     sampled nor dropped; repeated rows count as often as they occur. Other columns of df, of
     whatever name, are not read. Empty and very long key strings are ordinary keys. ``splits``
-    is the number of df's partitions; it is looked up if not given.
+    is about the number of df's partitions; it is estimated if not given.
     """
     names = [p.name for p in partials]
     if clash := set(keys) & set(names):
         raise ValueError(f"aggregates named like keys: {sorted(clash)}")
     if "__node" in keys or "__node" in names:
         raise ValueError("__node is reserved")
-    rounds = tree_rounds(splits or max(1, df.rdd.getNumPartitions()), fan_in)
+    rounds = max(2, tree_rounds(splits or estimated_splits(df), fan_in))  # never all partials of a key in one task at once
     key_columns = [F.col(k) for k in keys]
-    if rounds == 1:
-        return df.groupBy(*key_columns).agg(*(p.first for p in partials))
     node = F.pmod(F.spark_partition_id(), F.lit(fan_in ** (rounds - 1)))
     level = df.withColumn("__node", node).groupBy(*key_columns, "__node").agg(*(p.first for p in partials))
     for r in range(2, rounds):

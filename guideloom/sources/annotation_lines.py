@@ -22,6 +22,7 @@ from guideloom.plans.ordering import batches
 # Fixed values of the format.
 COLUMNS = 9
 LARGEST_COORDINATE = 4294967295
+LONGEST_NUMBER = len(str(LARGEST_COORDINATE))
 ID_FEATURES = ("gene", "mrna", "transcript")
 REASONS = ("columns", "quoting", "coordinates", "phase", "id")
 
@@ -82,21 +83,15 @@ class LineIndex:
 
     def number(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Value of fields of digits only; -1 for any other, and for values over ten digits."""
-        width = hi - lo
+        other = self.prefix((self.data < 48) | (self.data > 57))
+        not_zero = np.append(np.flatnonzero(self.data != 48), len(self.data))
+        first = np.minimum(not_zero[np.searchsorted(not_zero, lo)], hi)  # behind leading zeros
+        good = (hi > lo) & (other[hi] == other[lo]) & (hi - first <= LONGEST_NUMBER)
         value = np.zeros(len(lo), dtype=np.int64)
-        good = width > 0
-        significant = np.zeros(len(lo), dtype=np.int64)
-        for k in range(int(width.max(initial=0))):
-            live = good & (k < width)
-            if not live.any():
-                break
-            byte = self.data[np.where(live, lo + k, 0)]
-            digit = (byte >= 48) & (byte <= 57)
-            good &= digit | ~live
-            step = live & digit
-            significant += step & ((significant > 0) | (byte != 48))
-            value = np.where(step & (significant <= 10), value * 10 + (byte.astype(np.int64) - 48), value)
-        return np.where(good & (significant <= 10), value, -1)
+        for k in range(LONGEST_NUMBER):
+            live = good & (first + k < hi)
+            value = np.where(live, value * 10 + (self.data[np.where(live, first + k, 0)].astype(np.int64) - 48), value)
+        return np.where(good, value, -1)
 
     def equals(self, lo: np.ndarray, hi: np.ndarray, word: str) -> np.ndarray:
         """Mask of fields that are ``word`` in any case of letters."""
