@@ -58,6 +58,8 @@ class LineIndex:
         self.quotes = self.prefix(mask)
         self.tabs = np.flatnonzero(text == TAB)
         self.semicolons = np.flatnonzero(text == SEMICOLON)
+        zero = text == 48
+        self.zero_runs = np.flatnonzero(zero[:-1] & ~zero[1:])  # last places of runs of zeros
 
     @staticmethod
     def prefix(mask: np.ndarray) -> np.ndarray:
@@ -83,14 +85,16 @@ class LineIndex:
 
     def number(self, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
         """Value of fields of digits only; -1 for any other, and for values over ten digits."""
-        other = self.prefix((self.data < 48) | (self.data > 57))
-        not_zero = np.append(np.flatnonzero(self.data != 48), len(self.data))
-        first = np.minimum(not_zero[np.searchsorted(not_zero, lo)], hi)  # behind leading zeros
-        good = (hi > lo) & (other[hi] == other[lo]) & (hi - first <= LONGEST_NUMBER)
+        ends = self.zero_runs
+        zeros = (hi > lo) & (self.data[np.minimum(lo, len(self.data) - 1)] == 48)
+        first = np.where(zeros, np.minimum(ends[np.minimum(np.searchsorted(ends, lo), len(ends) - 1)] + 1, hi), lo) if len(ends) else lo  # behind leading zeros
+        good = (hi > lo) & (hi - first <= LONGEST_NUMBER)
         value = np.zeros(len(lo), dtype=np.int64)
         for k in range(LONGEST_NUMBER):
             live = good & (first + k < hi)
-            value = np.where(live, value * 10 + (self.data[np.where(live, first + k, 0)].astype(np.int64) - 48), value)
+            byte = self.data[np.where(live, first + k, 0)].astype(np.int64)
+            good &= ((byte >= 48) & (byte <= 57)) | ~live
+            value = np.where(live, value * 10 + (byte - 48), value)
         return np.where(good, value, -1)
 
     def equals(self, lo: np.ndarray, hi: np.ndarray, word: str) -> np.ndarray:
