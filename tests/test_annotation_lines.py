@@ -43,7 +43,7 @@ def reason_of(line):
 
 LINES = [
     GOOD, GOOD + "\r", "", "   ", "\r", "#x", "# a\tb", " #x", "a\tb", GOOD + "\tten", 'c\ts\tgene\t1\t2\t.\t+\t.\tID="a', 'c\ts\texon\t1\t2\t.\t+\t.\tNote=\\"a',
-    "c\ts\texon\t0\t2\t.\t+\t.\t", "c\ts\texon\t5\t2\t.\t+\t.\tx", "c\ts\texon\t0004\t4294967295\t.\t+\t1\tx", "c\ts\texon\t" + "0" * 5000 + "4\t" + "0" * 90 + "4294967295\t.\t+\t1\tx", "c\ts\texon\t000\t10\t.\t+\t1\tx", "c\ts\texon\t00x\t10\t.\t+\t1\tx", "c\ts\texon\t1\t" + "9" * 5000 + "\t.\t+\t1\tx", "c\ts\texon\t1\t4294967296\t.\t+\t1\tx", "c\ts\texon\t1\t99999999999999999999\t.\t+\t1\tx",
+    "c\ts\texon\t0\t2\t.\t+\t.\t", "c\ts\texon\t5\t2\t.\t+\t.\tx", "c\ts\texon\t0004\t4294967295\t.\t+\t1\tx", "c\ts\texon\t" + "0" * 4000 + "4\t" + "0" * 90 + "4294967295\t.\t+\t1\tx", "c\ts\texon\t000\t10\t.\t+\t1\tx", "c\ts\texon\t00x\t10\t.\t+\t1\tx", "c\ts\texon\t1\t" + "9" * 4000 + "\t.\t+\t1\tx", "c\ts\texon\t1\t4294967296\t.\t+\t1\tx", "c\ts\texon\t1\t99999999999999999999\t.\t+\t1\tx",
     "c\ts\texon\t\t4\t.\t+\t1\tx", "c\ts\texon\t1e3\t4\t.\t+\t1\tx", "c\ts\tCDS\t1\t4\t.\t+\t.\tx", "c\ts\texon\t1\t4\t.\t+\t3\tx", "c\ts\texon\t1\t4\t.\t+\t\tx", "c\ts\tmRNA\t1\t4\t.\t+\t0\tParent=a;ID=",
     'c\ts\tmRNA\t1\t4\t.\t+\t0\tNote="a;ID=b"', 'c\ts\tmRNA\t1\t4\t.\t+\t0\tNote="a;b"; ID "b"', "c\ts\tmRNA\t1\t4\t.\t+\t0\tID=;ID=b", "c\ts\tTranscript\t1\t4\t.\t+\t0\tprotein_ID=b", "c\ts\tgene\t1\t4\t.\t+\t0\tID",
     "c\ts\tgene\t1\t4\t.\t+\t0\tIDx=4", 'c\ts\tgene\t1\t4\t.\t+\t0\tID=" "', "é\tß\tgene\t1\t4\t.\t+\t0\tID=ü", "c\ts\tgene\t1\t4\t.\t+\t0\t", "c\ts\tgene\t1\t4\t.\t+\t0\tID=" + "x" * 100_000,
