@@ -57,12 +57,8 @@ def code_2bit(seq: Column) -> Column:
 
     The value is the unsigned code's bits in a signed 64-bit integer.
     """
-    digits = F.translate(F.regexp_replace(seq, "[^ACGT]", "A"), "ACGT", "0123")
-    head, tail = F.substring(digits, 1, 16), F.substring(digits, 17, 16)
-    number = lambda part: F.coalesce(F.conv(part, 4, 10).cast("long"), F.lit(0).cast("long"))
-    joined = F.call_function("shiftleft", number(head), (F.greatest(F.length(digits) - 16, F.lit(0)) * 2).cast("int")).bitwiseOR(
-        F.when(F.length(digits) > 16, number(tail)).otherwise(F.lit(0).cast("long"))
-    )
+    number = lambda base: F.greatest(F.position(base, F.lit(BASES)) - 1, F.lit(0)).cast("long")
+    joined = F.aggregate(F.split(seq, ""), F.lit(0).cast("long"), lambda code, base: F.shiftleft(code, 2).bitwiseOR(number(base)))
     return F.when(F.length(seq) <= 32, joined)
 
 
