@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 
 from guideloom.operators.annotation import annotation_sequences
 from guideloom.operators.extraction import extract_sites, genome
-from guideloom.operators.hits import ordered_summary, query_summary, raw_hits
+from guideloom.operators.hits import ordered_summary, query_summary
 from guideloom.operators.report import Progress, write_report
 from guideloom.operators.scored import scored_hits
-from guideloom.operators.search import indel_hits, mismatch_hits, search
+from guideloom.operators.search import indel_hits, mismatch_hits, raw_search
 from guideloom.params import LONGEST_SPACER, SearchParams
 from guideloom.plans.scratch import Scratch
 from guideloom.sources.files import read_fasta, read_scored, scored_rows
@@ -85,7 +85,7 @@ class OffTargetSession:
 
     def _hits(self, query_sites: DataFrame, target_sites: DataFrame) -> DataFrame:
         p = self.params
-        return raw_hits(search(query_sites, target_sites, p.spacer_length, p.max_mismatch, p.max_indel))
+        return raw_search(query_sites, target_sites, p.spacer_length, p.max_mismatch, p.max_indel)
 
     def scored(self, queries: DataFrame, contigs: DataFrame) -> DataFrame:
         """Scored hits of query sequences in a genome."""

@@ -8,7 +8,7 @@ from guideloom.functions.scoring import best_alignments, event_distance, score_t
 from guideloom.operators import hits as H
 from guideloom.operators.extraction import extract_sites, genome, slices
 from guideloom.operators.scored import padded_targets, scored_hits
-from guideloom.operators.search import indel_hits, indel_pairs, mismatch_pairs
+from guideloom.operators.search import indel_hits, indel_pairs, mismatch_pairs, raw_search, search
 from guideloom.params import SearchParams
 from tests.conftest import rows
 
@@ -109,6 +109,35 @@ def test_seed_joins_equal_all_pairs(spark, limit):
     assert once == other and {(x[1], x[3], x[4]) for x in once} == want and len(set(once)) == len(once)
 
 
+def sites_of_few_names(spark):
+    """Queries and targets of which some names have several sequences, some rows are repeated and some names null."""
+    rng = random.Random(5)
+    base = ["".join(rng.choice("ACGT") for _ in range(12)) for _ in range(4)] + ["A" * 12]
+    frame = lambda x: spark.createDataFrame(x, "name string, seq string")
+    queries = [(f"q{i if i < 20 else 0}", mutated(rng, rng.choice(base))) for i in range(24)] + [(None, base[0]), ("short", "ACGT"), ("none", None)]
+    targets = [(f"t{rng.randrange(60)}", mutated(rng, rng.choice(base))) for _ in range(150)] + [(None, base[0]), (None, mutated(rng, base[0])), ("none", None)]
+    return frame(queries), frame(targets + targets[:20])
+
+
+@pytest.mark.parametrize("max_indel", [0, 2])
+def test_raw_search_equals_raw_hits_of_all_hits(spark, max_indel):
+    queries, targets = sites_of_few_names(spark)
+    want = rows(H.raw_hits(search(queries, targets, 12, 3, max_indel)))
+    assert want and any(x[-1] > 1 for x in want)
+    for some in ({}, {"lost_rows": 0}, {"broadcast_bytes": 0}):
+        got = raw_search(queries, targets, 12, 3, max_indel, **some)
+        assert rows(got.select(*H.HIT_COLUMNS, "genomic_frequency")) == want
+
+
+def test_raw_search_shuffles_no_hits(spark):
+    # 90,000 hits of 300 queries and 300 targets: the plan that makes them, behind the written targets, exchanges nothing.
+    site = "ACGTTGCAAGCT"
+    queries, targets = (spark.range(300).select(F.concat(F.lit(x), F.col("id")).alias("name"), F.lit(site).alias("seq")) for x in "qt")
+    found = raw_search(queries, targets, 12, 3, 1)
+    assert found.where("genomic_frequency = 300 and search_type = 'Exact'").count() == 90_000
+    assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 Q = "CTCGAGCGTCGCGTGGAGTC"
 SCORES = [
     ("TTCTCGAGCGTCGCGTGGAGTC", 47, "1.0", []),
