@@ -8,7 +8,7 @@ from guideloom.functions.scoring import best_alignments, event_distance, score_t
 from guideloom.operators import hits as H
 from guideloom.operators.extraction import extract_sites, genome, slices
 from guideloom.operators.scored import padded_targets, scored_hits
-from guideloom.operators.search import indel_hits, indel_pairs, mismatch_pairs, raw_search, search
+from guideloom.operators.search import indel_hits, indel_pairs, mismatch_hits, mismatch_pairs, raw_search, search
 from guideloom.params import SearchParams
 from tests.conftest import rows
 
@@ -138,6 +138,15 @@ def test_raw_search_shuffles_no_hits(spark):
     assert "Exchange hashpartitioning" not in found._jdf.queryExecution().executedPlan().toString()
 
 
+def test_mismatch_hits_broadcast_no_keys(spark, monkeypatch):
+    # What the driver gathers are rows of queries, not one row for each of their keys.
+    sent, broadcast = [], F.broadcast
+    monkeypatch.setattr(F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    queries, targets = sites_of_few_names(spark)
+    assert mismatch_hits(queries, targets, 12, 3).count() > 0
+    assert len(sent) == 1 and sent[0] <= queries.count()
+
+
 Q = "CTCGAGCGTCGCGTGGAGTC"
 SCORES = [
     ("TTCTCGAGCGTCGCGTGGAGTC", 47, "1.0", []),
