@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import pytest
@@ -6,7 +7,8 @@ from pyspark.sql import functions as F
 from guideloom.functions import sequences as S
 from guideloom.functions.scoring import best_alignments, event_distance, score_text
 from guideloom.operators import hits as H
-from guideloom.operators.extraction import extract_sites, genome, slices
+from guideloom.operators import search as search_module
+from guideloom.operators.extraction import extract_sites, genome, sites_by_name, slices
 from guideloom.operators.scored import padded_targets, scored_hits
 from guideloom.operators.search import indel_hits, indel_pairs, mismatch_hits, mismatch_pairs, raw_search, search
 from guideloom.params import SearchParams
@@ -147,6 +149,58 @@ def test_mismatch_hits_broadcast_no_keys(spark, monkeypatch):
     assert len(sent) == 1 and sent[0] <= queries.count()
 
 
+def sites_of_contigs(spark):
+    """Queries and the contigs of their targets: delivered again, with other bases, without a name, with unknown bases."""
+    rng = random.Random(7)
+    bases = "".join(rng.choice("ACGT") for _ in range(300)) + "GATTACATTGCAGG" * 4 + "NNANN" + "ACGTTGCAAGCTTGG" * 3
+    other = bases[:150] + "".join(rng.choice("ACGT") for _ in range(150)) + bases[300:]
+    df = contigs(spark, [(0, "a", bases), (1, "b", bases), (2, "a", bases.lower()), (3, "a", other), (4, None, bases), (5, None, other), (6, "c:1", bases[40:]), (7, "d", "ACG")])
+    sites = extract_sites(df, SearchParams(spacer_length=12), True).select("seq").distinct().collect()
+    queries = [(f"q{i}", r.seq if i % 3 else mutated(rng, r.seq)) for i, r in enumerate(sorted(sites))]
+    return spark.createDataFrame([*queries, ("again", queries[0][1]), (None, queries[1][1])], "name string, seq string"), df
+
+
+@pytest.mark.parametrize("tile", [7, 64, 5000])
+def test_sites_by_name_hold_every_site(spark, tile):
+    _, df = sites_of_contigs(spark)
+    for direction in ("up", "down"):
+        p = SearchParams(spacer_length=12, direction=direction)
+        got = sites_by_name(df, p, True, tile=tile, task_bases=200)
+        assert rows(got.select("name", "seq", "chrom_idx")) == rows(extract_sites(df, p, True).select("name", "seq", "chrom_idx"))
+        at = got.withColumn("task", F.spark_partition_id()).groupBy("name").agg(F.count_distinct("task", "part").alias("n"))
+        assert at.where("n > 1").count() == 0
+    with pytest.raises(ValueError):
+        sites_by_name(df, SearchParams(alt_pam="NNAG"), True)
+
+
+@pytest.mark.parametrize("tested", [1, 40, 1 << 16])
+def test_whole_parts_hold_each_site_once(spark, monkeypatch, tested):
+    monkeypatch.setattr(search_module, "TESTED", tested)
+    _, df = sites_of_contigs(spark)
+    table = sites_by_name(df, SearchParams(spacer_length=12), True, tile=64, task_bases=10**6).toArrow()
+    tables = list(search_module._whole_parts(iter(table.to_batches(max_chunksize=9))))
+    got = [(r["name"], r["seq"]) for t in tables for r in t.to_pylist()]
+    assert sorted(got, key=str) == sorted({(r["name"], r["seq"]) for r in table.to_pylist()}, key=str)
+    parts = [{r["part"] for r in t.to_pylist()} for t in tables]
+    assert sum(map(len, parts)) == len(set().union(*parts))
+    for name, some in itertools.groupby(got, lambda x: x[0]):
+        some = list(some)
+        assert some == sorted(some, key=str) and len(some) == sum(x[0] == name for x in got)
+
+
+def test_hits_in_blocks_shuffle_no_targets(spark, monkeypatch):
+    # More queries than are sent at once: they are divided, and what is shuffled are tiles of the genome only.
+    monkeypatch.setattr(search_module, "_shuffled_pairs", None)
+    queries, df = sites_of_contigs(spark)
+    p = SearchParams(spacer_length=12)
+    for hits_of, limit in ((mismatch_hits, 3), (indel_hits, 1)):
+        want = rows(hits_of(queries, extract_sites(df, p, True), 12, limit))
+        got = hits_of(queries, sites_by_name(df, p, True, task_bases=200), 12, limit, broadcast_bytes=queries.count() * 40, by_name=True)
+        assert want and rows(got) == want
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("RepartitionByExpression") == 3 and "Aggregate" not in plan
+
+
 Q = "CTCGAGCGTCGCGTGGAGTC"
 SCORES = [
     ("TTCTCGAGCGTCGCGTGGAGTC", 47, "1.0", []),
