@@ -201,6 +201,18 @@ def test_hits_in_blocks_shuffle_no_targets(spark, monkeypatch):
         assert plan.count("RepartitionByExpression") == 3 and "Aggregate" not in plan
 
 
+def test_raw_search_by_name_writes_no_targets(spark, monkeypatch):
+    # Targets of one sequence a name stay where they are found; other ones are still searched whole.
+    queries, df = sites_of_contigs(spark)
+    p, written = SearchParams(spacer_length=12), search_module._hit_targets
+    for some, way in ((df.where("chrom_idx in (0, 1, 2, 6, 7)"), None), (df, written)):
+        monkeypatch.setattr(search_module, "_hit_targets", written)
+        want = rows(H.raw_hits(search(queries, extract_sites(some, p, True), 12, 3, 1)))
+        monkeypatch.setattr(search_module, "_hit_targets", way)
+        got = raw_search(queries, sites_by_name(some, p, True, task_bases=200), 12, 3, 1, broadcast_bytes=queries.count() * 70, by_name=True)
+        assert any(x[-1] > 1 for x in want) and rows(got.select(*H.HIT_COLUMNS, "genomic_frequency")) == want
+
+
 Q = "CTCGAGCGTCGCGTGGAGTC"
 SCORES = [
     ("TTCTCGAGCGTCGCGTGGAGTC", 47, "1.0", []),
